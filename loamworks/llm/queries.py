@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import furniture, leaks
+from loamworks.llm import furniture, language, leaks, quality
 from loamworks.sources import table
 
 
@@ -20,6 +20,19 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.line_clusters(table(spark, sf_dir, "document_chunks_sec"), table(spark, sf_dir, "documents_sec"))
 
 
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "document_chunks_sec")
+    return quality.text_statistics(chunks, furniture.repeated_lines(chunks, table(spark, sf_dir, "documents_sec")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.findings(_statistics(spark, sf_dir))
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statistics(spark, sf_dir)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -30,6 +43,19 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.language_passages(documents, language.fit(documents))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.label_faults(_passages(spark, sf_dir))
+
+
+def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir).drop("label")
+
+
 _LINES = r"""
 WITH d AS (SELECT DISTINCT lower(trim(id)) AS doc, upper(trim(ticker)) AS site FROM documents_sec WHERE trim(ticker) <> ''),
 c AS (SELECT DISTINCT id, lower(trim(document_id)) AS doc, content FROM document_chunks_sec WHERE content IS NOT NULL),
@@ -39,7 +65,7 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p7_found": p7_found, "p7_items": p7_items}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
 }
