@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import furniture, language, leaks, quality
+from loamworks.llm import furniture, language, leaks, pii, quality
 from loamworks.sources import table
 
 
@@ -20,6 +20,19 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.line_clusters(table(spark, sf_dir, "document_chunks_sec"), table(spark, sf_dir, "documents_sec"))
 
 
+FREE_TEXT = ("pros", "cons", "advice_to_management")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = table(spark, sf_dir, "glassdoor_reviews")
+    return pii.found_types(reviews, pii.fit(reviews, FREE_TEXT), FREE_TEXT)
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = table(spark, sf_dir, "glassdoor_reviews")
+    return pii.redact(reviews, pii.fit(reviews, FREE_TEXT), FREE_TEXT)
+
+
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "document_chunks_sec")
     return quality.text_statistics(chunks, furniture.repeated_lines(chunks, table(spark, sf_dir, "documents_sec")))
@@ -65,7 +78,7 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
 }
