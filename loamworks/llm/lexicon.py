@@ -15,16 +15,16 @@ GIVEN_NAMES = frozenset(
 # Given names that are ordinary words, months or seasons as well.
 WORD_NAMES = frozenset("will may june april summer grace faith hope joy rose mark bill chase frank grant rich art dawn autumn hunter pat sue drew".split())
 
-# Short forms of given names.
+# Short forms of given names, spoken and written.
 NICKNAMES = {
-    "alexander": "alex al sandy xander", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny", "catherine": "cathy kate",
-    "charles": "charlie chuck chas", "christopher": "chris kit topher", "cynthia": "cindy", "daniel": "dan danny", "deborah": "deb debbie debby", "donald": "don",
-    "edward": "ed eddie ted ned", "elizabeth": "liz beth betsy betty eliza lizzie", "frederick": "fred freddie freddy", "gerald": "gerry jerry", "gregory": "greg",
-    "james": "jim jimmy jamie", "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "katherine": "kathy kate katie kat",
-    "kenneth": "ken kenny", "lawrence": "larry", "margaret": "maggie meg peggy", "matthew": "matt", "michael": "mike mick mickey", "nicholas": "nick", "pamela": "pam",
-    "patricia": "pat patty tricia trish", "rebecca": "becca becky", "richard": "rick dick rich", "robert": "rob bob bobby robbie", "samuel": "sam sammy", "stephen": "steve steven",
-    "steven": "steve stephen", "susan": "sue susie", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky vicki tori", "victor": "vic",
-    "william": "will bill billy liam", "zachary": "zach zack", "philip": "phil", "ronald": "ron", "raymond": "ray", "peter": "pete", "alexandra": "alex sandra", "jeffrey": "jeff",
+    "alexander": "alex al sandy xander alexr", "andrew": "andy drew", "anthony": "tony anty", "barbara": "barb babs", "benjamin": "ben benny benj", "catherine": "cathy kate",
+    "charles": "charlie chuck chas", "christopher": "chris kit topher chr xtopher", "cynthia": "cindy", "daniel": "dan danny danl", "deborah": "deb debbie debby", "donald": "don",
+    "edward": "ed eddie ted ned edw", "elizabeth": "liz beth betsy betty eliza lizzie", "frederick": "fred freddie freddy fredk", "gerald": "gerry jerry", "gregory": "greg gregg",
+    "james": "jim jimmy jamie jas", "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey jos", "katherine": "kathy kate katie kat",
+    "kenneth": "ken kenny", "lawrence": "larry", "margaret": "maggie meg peggy margt", "matthew": "matt", "michael": "mike mick mickey", "nicholas": "nick nicky nichs", "pamela": "pam",
+    "patricia": "pat patty tricia trish", "rebecca": "becca becky", "richard": "rick dick rich richd", "robert": "rob bob bobby robbie robt", "samuel": "sam sammy saml", "stephen": "steve steven stephn",
+    "steven": "steve stephen", "susan": "sue susie", "theodore": "ted teddy theo", "thomas": "tom tommy thos", "timothy": "tim", "victoria": "vicky vicki tori", "victor": "vic",
+    "william": "will bill billy liam wm", "zachary": "zach zack", "philip": "phil", "ronald": "ron", "raymond": "ray", "peter": "pete", "alexandra": "alex sandra", "jeffrey": "jeff",
 }
 
 COURTESY_TITLES = frozenset("mr mrs ms miss dr prof professor sir hon madam dame lord lady rev".split())

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import furniture, language, leaks, pii, quality
+from loamworks.llm import furniture, language, leaks, names, pii, quality
 from loamworks.sources import table
 
 
@@ -20,6 +20,16 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.line_clusters(table(spark, sf_dir, "document_chunks_sec"), table(spark, sf_dir, "documents_sec"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(table(spark, sf_dir, "board_members"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entity, its seats and spellings."""
+    seats = names.entities(table(spark, sf_dir, "board_members"))
+    return seats.groupBy("entity").agg(F.count("*").alias("n_seats"), F.countDistinct("name").alias("n_spellings"))
+
+
 FREE_TEXT = ("pros", "cons", "advice_to_management")
 
 
@@ -78,7 +88,7 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
 }
