@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import furniture, language, leaks, names, pii, quality
+from loamworks.llm import furniture, language, leaks, mixing, names, pii, quality
 from loamworks.sources import table
 
 
@@ -66,6 +66,15 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "source_targets")
+    return mixing.mixture_shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.language_passages(documents, language.fit(documents))
@@ -88,7 +97,7 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
 }
