@@ -58,84 +58,99 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language; ``parts`` is what is broadcast."""
+    """Log frequencies of words and n-grams by language, each less its mean over languages; ``parts`` is what is broadcast."""
 
-    def __init__(self, languages: Sequence[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.languages, self.words, self.grams = tuple(languages), words, grams
-        self._unseen: dict[str, np.ndarray] = {}
-
-    @property
-    def parts(self) -> tuple:
-        return self.languages, self.words, self.grams
+    def __init__(self, languages: Sequence[str], words: dict[str, int], word_scores: np.ndarray, grams: dict[str, int], gram_scores: np.ndarray):
+        self.parts = (tuple(languages), words, word_scores, grams, gram_scores)
+        self.languages, self.words, self.word_scores, self.grams, self.gram_scores = self.parts
 
     @classmethod
-    def of_counts(cls, counts: dict[str, np.ndarray], languages: Sequence[str]) -> "Model":
-        """The model of counts of each word by language."""
-        total = np.sum(list(counts.values()), axis=0) + 1.0 if counts else np.ones(len(languages))
-        kept = {w: c for w, c in counts.items() if c.sum() >= MIN_COUNT}
-        grams: dict[str, np.ndarray] = {}
-        for w, c in counts.items():
-            share = np.sqrt(c / total * 1e6)
-            padded = f"_{w}_"
-            for n in range(1, LONGEST + 1):
-                for i in range(len(padded) - n + 1):
-                    g = padded[i : i + n]
-                    grams[g] = grams[g] + share if g in grams else share
-        mass = np.ones((LONGEST, len(languages)))
-        for g, v in grams.items():
-            mass[len(g) - 1] += v
-        words = {w: np.log((c + 0.3) / (total + 0.3 * len(kept))) for w, c in kept.items()}
-        return cls(languages, words, {g: np.log((v + 0.5) / mass[len(g) - 1]) for g, v in grams.items() if v.max() > 2.0})
+    def of_counts(cls, counts: dict[str, np.ndarray], languages: Sequence[str], backoff: bool = True) -> "Model":
+        """The model of counts of each word by language; without ``backoff`` unseen words say nothing."""
+        names, width = list(counts), len(languages)
+        table = np.array([counts[w] for w in names]).reshape(-1, width)
+        total = table.sum(0) + 1.0
+        kept = np.flatnonzero(table.sum(1) >= MIN_COUNT)
+        scores = np.log((table[kept] + 0.3) / (total + 0.3 * len(kept)))
+        words = {names[i]: k for k, i in enumerate(kept)}
+        grams: dict[str, int] = {}
+        gram_scores = np.zeros((0, width))
+        if backoff:
+            at, of = [], []
+            for i, w in enumerate(names):
+                padded = f"_{w}_"
+                for n in range(1, LONGEST + 1):
+                    for k in range(len(padded) - n + 1):
+                        at.append(grams.setdefault(padded[k : k + n], len(grams)))
+                        of.append(i)
+            share = np.sqrt(table / total * 1e6)
+            mass = np.stack([np.bincount(at, share[of, j], len(grams)) for j in range(width)], axis=1) if at else gram_scores
+            length = np.fromiter((len(g) for g in grams), int, len(grams))
+            by_length = np.stack([np.bincount(length, mass[:, j], LONGEST + 1) for j in range(width)], axis=1) + 1.0 if at else None
+            often = np.flatnonzero(mass.max(1) > 2.0) if at else np.zeros(0, int)
+            gram_scores = np.log((mass[often] + 0.5) / by_length[length[often]]) if at else gram_scores
+            spelt = list(grams)
+            grams = {spelt[i]: k for k, i in enumerate(often)}
+        centred = [x - x.mean(1, keepdims=True) if len(x) else x for x in (scores, gram_scores)]
+        return cls(languages, words, centred[0], grams, centred[1])
 
     def unseen(self, word: str) -> np.ndarray:
-        """Backoff score of a word: the mean, over its places, of the longest known n-gram there, less the mean over languages."""
-        got = self._unseen.get(word)
-        if got is None:
-            padded, parts = f"_{word}_", []
-            for i in range(len(padded) - 1):
-                for n in range(LONGEST, 0, -1):
-                    if (g := self.grams.get(padded[i : i + n])) is not None and i + n <= len(padded):
-                        parts.append(g - g.mean())
-                        break
-            got = np.mean(parts, axis=0) * 0.5 if parts else np.zeros(len(self.languages))
-            if len(self._unseen) > 200_000:
-                self._unseen.clear()
-            self._unseen[word] = got
-        return got
-
-    def score(self, words: list[str]) -> np.ndarray:
-        """Log likelihood of the words by language, up to a constant."""
-        out = np.zeros(len(self.languages))
-        for w in words:
-            k = self.words.get(w)
-            out += self.unseen(w) if k is None else k - k.mean()
-        return out
-
-
-def _assigned(text: str, model: Model) -> list[tuple]:
-    """(lang index, start, end, words, score) of each sentence: the document's main language, or one clearly ahead of it."""
-    parts = [(a, b, w, model.score(w)) for a, b, w in sentences(text)]
-    if not parts:
-        return []
-    main = int(np.argmax(sum(s for *_, s in parts)))
-    out = []
-    for a, b, words, s in parts:
-        best = int(np.argmax(s))
-        ahead = s[best] - s[main]
-        sure = len(words) >= OTHER_WORDS and ahead >= OTHER_MARGIN and ahead / len(words) >= OTHER_WORD_MARGIN
-        out.append((best if sure else main, a, b, words, s))
-    return out
-
-
-def _passages(text: str, model: Model) -> list[list]:
+        """Backoff score of a word: half the mean, over its places, of the longest known n-gram there."""
+        padded, found = f"_{word}_", []
+        for i in range(len(padded) - 1):
+            for n in range(min(LONGEST, len(padded) - i), 0, -1):
+                if (g := self.grams.get(padded[i : i + n])) is not None:
+                    found.append(g)
+                    break
+        return self.gram_scores[found].mean(0) * 0.5 if found else np.zeros(len(self.languages))
+
+    def scores(self, sentences_words: list[list[str]]) -> np.ndarray:
+        """Log likelihood of each sentence by language, up to a constant; no sentence may be empty."""
+        known, extra, rows = self.words, {}, []
+        for words in sentences_words:
+            for w in words:
+                k = known.get(w)
+                if k is None:
+                    k = extra.setdefault(w, len(self.word_scores) + len(extra))
+                rows.append(k)
+        table = np.concatenate([self.word_scores, np.array([self.unseen(w) for w in extra]).reshape(-1, len(self.languages))]) if extra else self.word_scores
+        first = np.cumsum([0] + [len(w) for w in sentences_words[:-1]])
+        return np.add.reduceat(table[rows], first)
+
+
+def _assigned(texts: Sequence[str], model: Model) -> Iterator[list[tuple]]:
+    """Of each text, (lang index, start, end, words, score) of its sentences.
+
+    A text holds its main language, and others in which a sentence is clearly ahead of all the rest; its sentences are
+    in the main language but for those clearly ahead of it.
+    """
+    split = [sentences(t) for t in texts]
+    flat = [w for parts in split for *_, w in parts]
+    scored = model.scores(flat) if flat else np.zeros((0, len(model.languages)))
+    best, at = scored.argmax(1), 0
+    for parts in split:
+        mine = scored[at : at + len(parts)]
+        main = int(mine.sum(0).argmax()) if parts else 0
+        second = np.partition(mine, -2, axis=1)[:, -2] if parts else None
+        lead = [mine[k].max() - mine[k, main] for k in range(len(parts))]
+        sure = [len(w) >= OTHER_WORDS and lead[k] >= OTHER_MARGIN and lead[k] / len(w) >= OTHER_WORD_MARGIN for k, (*_, w) in enumerate(parts)]
+        held = sorted({main} | {int(best[at + k]) for k in range(len(parts)) if sure[k] and mine[k].max() - second[k] >= OTHER_MARGIN})
+        out = []
+        for k, (a, b, words) in enumerate(parts):
+            out.append((held[int(mine[k, held].argmax())] if sure[k] else main, a, b, words, mine[k]))
+        at += len(parts)
+        yield out
+
+
+def _passages(assigned: list[tuple]) -> list[list]:
     """[lang index, start, end, confidence] of the passages of a text, in order."""
     out: list[list] = []
-    for k, a, b, _, s in _assigned(text, model):
+    for k, a, b, _, s in assigned:
         if out and out[-1][0] == k:
             out[-1][2], out[-1][3] = b, out[-1][3] + s
         else:
-            out.append([k, a, b, s.copy()])
-    return [[k, a, b, float(1 / np.exp(s - s[k]).sum())] for k, a, b, s in out]
+            out.append([k, a, b, s])
+    return [[k, a, b, float(1 / np.exp(np.minimum(s - s[k], 700)).sum())] for k, a, b, s in out]
 
 
 def _counted(rows: DataFrame, languages: Sequence[str]) -> dict[str, np.ndarray]:
@@ -158,19 +173,18 @@ def fit(documents: DataFrame, languages: Sequence[str] = LANGUAGES, max_sample:
         model = None if known is None else Model(*known.value)
         for b in batches:
             c: Counter = Counter()
-            for text, lang in zip(b["text"], b["lang"], strict=True):
-                if model is None:
-                    c.update((lang, w) for *_, words in sentences(text) for w in words)
-                else:
-                    c.update((codes[k], w) for k, *_, words, _ in _assigned(text, model) for w in words)
+            if model is not None:
+                c.update((codes[k], w) for parts in _assigned(list(b["text"]), model) for k, *_, words, _ in parts for w in words)
+            for text, lang in zip(b["text"], b["lang"], strict=True) if model is None else ():
+                c.update((lang, w) for *_, words in sentences(text) for w in words)
             yield pd.DataFrame([(to, w, n) for (to, w), n in c.items()], columns=["lang", "word", "n"])
 
     schema = "lang string, word string, n bigint"
     try:
-        model = Model.of_counts(_counted(sample.mapInPandas(count, schema), codes), codes)
-        for _ in range(rounds):
+        model = Model.of_counts(_counted(sample.mapInPandas(count, schema), codes), codes, backoff=not rounds)
+        for r in range(rounds):
             known = documents.sparkSession.sparkContext.broadcast(model.parts)
-            model = Model.of_counts(_counted(sample.mapInPandas(lambda it, known=known: count(it, known), schema), codes), codes)
+            model = Model.of_counts(_counted(sample.mapInPandas(lambda it, known=known: count(it, known), schema), codes), codes, backoff=r == rounds - 1)
     finally:
         sample.unpersist()
     return model
@@ -186,7 +200,7 @@ def language_passages(documents: DataFrame, model: Model) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
         for b in batches:
-            rows = [(doc, m.languages[k], a, e, c, label) for doc, text, label in zip(b["doc_id"], b["text"], b["label"], strict=True) for k, a, e, c in _passages(text, m)]
+            rows = [(doc, m.languages[k], a, e, c, label) for doc, label, parts in zip(b["doc_id"], b["label"], _assigned(list(b["text"]), m), strict=True) for k, a, e, c in _passages(parts)]
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "start", "end", "confidence", "label"])
 
     rows = documents.where("text is not null").select("doc_id", "text", label_code("lang").alias("label"))
