@@ -1,7 +1,7 @@
 """All queries outside the subpackage for training text."""
 
-from loamworks.plans import quality
+from loamworks.plans import quality, relational
 
-FLAGSHIP = "p3_report"
-QUERIES = {**quality.QUERIES}
-SQL = {**quality.SQL}
+FLAGSHIP = "assessment_trend"
+QUERIES = {**quality.QUERIES, **relational.QUERIES}
+SQL = {**quality.SQL, **relational.SQL}
