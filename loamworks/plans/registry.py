@@ -1,7 +1,7 @@
 """All queries outside the subpackage for training text."""
 
-from loamworks.plans import quality, relational
+from loamworks.plans import analytics, quality, relational
 
-FLAGSHIP = "assessment_trend"
-QUERIES = {**quality.QUERIES, **relational.QUERIES}
-SQL = {**quality.SQL, **relational.SQL}
+FLAGSHIP = "score_chain"
+QUERIES = {**analytics.QUERIES, **relational.QUERIES, **quality.QUERIES}
+SQL = {**analytics.SQL, **relational.SQL, **quality.SQL}
