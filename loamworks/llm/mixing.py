@@ -20,7 +20,7 @@ from loamworks.operators.lineage import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public tokenizer splits a text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Groups of sources routed one by one, the largest first (texts of further groups count for one of their sources); hash buckets of a group.
+#: Groups of sources of several sources routed one by one, the largest first (texts of further ones count for one of their sources); hash buckets of a group.
 MAX_GROUPS, BUCKETS = 1_000, 1024
 
 
@@ -102,7 +102,7 @@ def routes(groups: dict[tuple[str, ...], float], quotas: dict[str, float], repea
     for s in names:
         net.add(node[s], end, quotas[s])
     met = 0.0
-    for use in range(max(repeats.values(), default=0)):
+    for use in range(max((sum(repeats.get(s, 0) for s in g) for g in keys), default=0)):
         for k, g in enumerate(keys):
             if sum(repeats.get(s, 0) for s in g) > use:
                 net.add(0, 1 + k, groups[g])
@@ -112,7 +112,7 @@ def routes(groups: dict[tuple[str, ...], float], quotas: dict[str, float], repea
 
 def largest_total(groups: dict[tuple[str, ...], float], shares: dict[str, float], repeats: dict[str, int], steps: int = 24) -> float:
     """The largest total at which every source of ``shares`` can meet its share, by bisection over the flow."""
-    low, high = 0.0, sum(v * max((repeats[s] for s in g), default=0) for g, v in groups.items())
+    low, high = 0.0, sum(v * sum(repeats.get(s, 0) for s in g) for g, v in groups.items())
     for _ in range(steps):
         total = (low + high) / 2
         ok = routes(groups, {s: x * total for s, x in shares.items()}, repeats)[1] >= total * (1 - 1e-6)
@@ -135,12 +135,11 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     sized = token_counts(documents, tokenizer).join(F.broadcast(names), "source")
     held = cut(sized.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")))
     texts = held.groupBy("text_key").agg(F.array_join(F.sort_array(F.collect_set("source")), "\x1f").alias("sources"), F.max("n_tokens").alias("n_tokens"))
-    sizes = texts.groupBy("sources").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "sources").limit(max_groups)
-    single = held.groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    groups = {tuple(r["sources"].split("\x1f")): float(r["n"]) for r in sizes.collect()}  # at most max_groups
-    for r in single.collect():  # one row a source
-        groups.setdefault((r["source"],), 0.0)
-    total = texts.agg(F.sum("n_tokens")).first()[0] or 0
+    sizes = cut(texts.groupBy("sources").agg(F.sum("n_tokens").alias("n")))
+    several = F.contains("sources", F.lit("\x1f"))
+    listed = sizes.where(several).orderBy(F.desc("n"), "sources").limit(max_groups).collect() + sizes.where(~several).collect()  # at most max_groups, and one row a source
+    groups = {(s,): 0.0 for s in wanted} | {tuple(r["sources"].split("\x1f")): float(r["n"]) for r in listed}
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     rest = float(total) - sum(groups.values())
     if rest > 0.5:
         known = spark.createDataFrame([("\x1f".join(g),) for g in groups], "sources string")
