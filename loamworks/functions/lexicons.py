@@ -42,6 +42,22 @@ FILING_TERMS = ("machine learning", "automation", "cloud", "data lake", "analyti
 DIMENSIONS = {"data_infrastructure": 0.15, "ai_governance": 0.15, "technology_stack": 0.15, "talent": 0.15, "leadership": 0.10, "use_case_portfolio": 0.15, "culture": 0.15}
 DIMENSION_ALIASES = {"talent_skills": "talent", "leadership_vision": "leadership", "culture_change": "culture"}
 
+# How evidence of a source weighs on dimensions, and its reliability.
+SOURCE_WEIGHTS = {
+    "sec_filing": ({"ai_governance": 0.80, "data_infrastructure": 0.20}, 0.90),
+    "employee_review": ({"culture": 0.80, "talent": 0.10, "leadership": 0.10}, 0.70),
+    "board_composition": ({"ai_governance": 0.70, "leadership": 0.30}, 0.85),
+}
+
+# A rubric of levels by keywords of the corpus, and how many a level needs.
+RUBRIC = {
+    5: ("machine learning pilots", "feature store", "responsible technology"),
+    4: ("cloud data", "governance policy", "data platform"),
+    3: ("analytics", "automation", "cybersecurity"),
+    2: ("legacy", "customer records"),
+}
+RUBRIC_LEAST = {5: 2, 4: 2, 3: 1, 2: 1}
+
 # Fixed values by sector: average score, base score, alignment, timing; defaults for other sectors.
 SECTORS = {
     "technology": (65.0, 75.0, 1.10, 1.15),

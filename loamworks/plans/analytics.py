@@ -7,10 +7,11 @@ from loamworks.functions import lexicons as L
 from loamworks.functions.keys import text_key, upper_key
 from loamworks.functions.text import company_name, domain, filing_form, garbage, hits, tidy, tokens, whole_word_hits, word_count
 from loamworks.operators.documents import chunked, clean_lines, primary_document, section_bounds, visible_text, within_budget
+from loamworks.operators.evidence import concentration, justification, merged_members, rubric_confidence, rubric_level, to_dimensions
 from loamworks.operators.ranking import reciprocal_rank_fusion
 from loamworks.operators.retrieval import bm25_top, cosine_top
 from loamworks.operators.scoring import chain, culture_scores, dimension_name, governance
-from loamworks.plans.relational import d, day
+from loamworks.plans.relational import _EVIDENCE, d, day, evidence
 from loamworks.sources import table
 
 QUERIES, SQL = {}, {}
@@ -202,3 +203,73 @@ def memo_sections(s, p):
 @query("""SELECT upper(trim(ticker)) AS ticker, count(DISTINCT id) AS n, strftime(max(filing_date), '%Y-%m-%d') AS newest, round(avg(word_count), 4) AS words FROM documents_sec WHERE trim(ticker) <> '' GROUP BY 1""")
 def filings_by_ticker(s, p):
     return table(s, p, "documents_sec").where("trim(ticker) <> ''").groupBy(upper_key("ticker").alias("ticker")).agg(F.countDistinct("id").alias("n"), day(F.max("filing_date")).alias("newest"), F.round(F.avg("word_count"), 4).alias("words"))
+
+
+_WEIGHT_ROWS = ", ".join(f"('{src}', '{dim}', {w}::double, {rel}::double)" for src, (ws, rel) in L.SOURCE_WEIGHTS.items() for dim, w in ws.items())
+_DIM_ROWS = ", ".join(f"('{x}')" for x in L.DIMENSIONS)
+
+
+@query(f"""WITH e AS (SELECT ticker, source_type AS source, least(100, greatest(0, length(content)::double / 2)) AS score, confidence FROM ({_EVIDENCE})), w(source, dimension, weight, reliability) AS (VALUES {_WEIGHT_ROWS}), dims(dimension) AS (VALUES {_DIM_ROWS}),
+g AS (SELECT ticker, dimension, sum(score * weight) / sum(weight) AS score, sum(weight) AS total_weight, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM e JOIN w USING (source) WHERE score IS NOT NULL GROUP BY ALL)
+SELECT t.ticker, d.dimension, round(coalesce(g.score, 50), 7) AS score, round(coalesce(g.total_weight, 0), 5) AS total_weight, coalesce(g.sources, '') AS sources FROM (SELECT DISTINCT ticker FROM e WHERE ticker <> '') t, dims d LEFT JOIN g ON g.ticker = t.ticker AND g.dimension = d.dimension""")
+def evidence_dimensions(s, p):
+    """Evidence of all sources on the seven dimensions; a passage's length stands for its score."""
+    e = evidence(s, p).where("ticker <> ''").select("ticker", F.col("source_type").alias("source"), F.least(F.lit(100.0), F.length("content") / 2).alias("score"), "confidence")
+    w = s.createDataFrame([(src, dim, x, rel) for src, (ws, rel) in L.SOURCE_WEIGHTS.items() for dim, x in ws.items()], "source string, dimension string, weight double, reliability double")
+    t = to_dimensions(e, w, ["ticker"], list(L.DIMENSIONS))
+    return t.select("ticker", "dimension", F.round("score", 7).alias("score"), F.round("total_weight", 5).alias("total_weight"), "sources")
+
+
+def _rubric(n: int) -> str:
+    return " + ".join(f"regexp_matches(t, '(^|[^a-z0-9_]){w}([^a-z0-9_]|$)')::int" for w in L.RUBRIC[n])
+
+
+@query(f"""WITH c AS (SELECT DISTINCT id, lower(content) AS t, length(content) AS n FROM document_chunks_sec WHERE content IS NOT NULL), k AS (SELECT id, n, {_rubric(5)} AS k5, {_rubric(4)} AS k4, {_rubric(3)} AS k3, {_rubric(2)} AS k2 FROM c),
+l AS (SELECT id, n, CASE WHEN k5 >= 2 THEN 5 WHEN k4 >= 2 THEN 4 WHEN k3 >= 1 THEN 3 WHEN k2 >= 1 THEN 2 ELSE 1 END::bigint AS level, CASE WHEN k5 >= 2 THEN k5 WHEN k4 >= 2 THEN k4 WHEN k3 >= 1 THEN k3 WHEN k2 >= 1 THEN k2 ELSE 0 END::bigint AS found FROM k)
+SELECT id, level, found, round(least(1, greatest(0.3, CASE WHEN found >= 5 THEN 0.9 WHEN found >= 3 THEN 0.75 WHEN found >= 1 THEN 0.65 ELSE 0.5 END::double * CASE WHEN n > 10000 THEN 1.1 WHEN n < 1000 THEN 0.9 ELSE 1.0 END::double)), 6) AS confidence FROM l""")
+def rubric_levels(s, p):
+    t = table(s, p, "document_chunks_sec").where("content is not null").select("id", "content").distinct()
+    level, found = rubric_level(F.col("content"), L.RUBRIC, L.RUBRIC_LEAST)
+    return t.select("id", level.alias("level"), found.alias("found"), F.length("content").alias("n")).select("id", "level", "found", F.round(rubric_confidence(F.col("found"), F.col("n")), 6).alias("confidence"))
+
+
+@query("""SELECT company_id, lower(trim(name)) AS person, count(*) AS n_rows, arg_max(coalesce(bio, ''), (length(coalesce(bio, '')), coalesce(bio, ''))) AS bio, coalesce(bool_or(is_independent), false) AS is_independent, max(tenure_years)::double AS tenure_years,
+array_to_string(list_sort(list(DISTINCT trim(committees, ' ')) FILTER (WHERE committees IS NOT NULL)), '##') AS committees FROM (SELECT DISTINCT * FROM board_members) WHERE trim(name) <> '' GROUP BY 1, 2""")
+def merged_directors(s, p):
+    t = table(s, p, "board_members").distinct().where("trim(name) <> ''").withColumn("person", F.lower(F.trim("name")))
+    m = merged_members(t, ["company_id", "person"])
+    committees = F.when(F.size("committees") > 0, F.array_join("committees", "##"))
+    return m.select("company_id", "person", "n_rows", "bio", "is_independent", "tenure_years", committees.alias("committees"))
+
+
+@query("""WITH j AS (SELECT company_id, job_title AS title, CASE WHEN regexp_matches(lower(job_title), 'senior|lead|head|manager|director') THEN 'senior' ELSE 'other' END AS level FROM (SELECT DISTINCT * FROM glassdoor_reviews) WHERE job_title IS NOT NULL),
+g AS (SELECT company_id, count(*) AS n, count(CASE WHEN level = 'senior' THEN 1 END) AS senior, count(DISTINCT title) AS skills FROM j GROUP BY 1)
+SELECT company_id, n, round(least(1, greatest(0, 0.4::double * senior / n + 0.3::double * least(1, 1 / (sqrt(n) + 0.1::double)) + 0.2::double * greatest(0, 1 - skills / 15))), 6) AS concentration FROM g""")
+def talent_concentration(s, p):
+    t = table(s, p, "glassdoor_reviews").distinct().where("job_title is not null").select("company_id", F.col("job_title").alias("title"), F.when(F.lower("job_title").rlike("senior|lead|head|manager|director"), "senior").otherwise("other").alias("level"))
+    return concentration(t, "company_id").select("company_id", "n", F.round("concentration", 6).alias("concentration"))
+
+
+_CASE_WORDS = ("feature store", "cloud data", "cybersecurity", "vendor models", "annual budget", "blockchain")
+
+
+@query(f"""WITH c AS (SELECT DISTINCT c.id, upper(trim(f.ticker)) AS ticker, c.content FROM document_chunks_sec c JOIN documents_sec f ON lower(trim(c.document_id)) = lower(trim(f.id)) WHERE trim(f.ticker) <> '' AND c.section = 'Item 1A'),
+h AS (SELECT ticker, list_filter({_list(_CASE_WORDS)}, lambda w: contains(lower(content), w)) AS held FROM c), g AS (SELECT ticker, count(CASE WHEN len(held) > 0 THEN 1 END) AS matching, flatten(list(held)) AS found FROM h GROUP BY ticker)
+SELECT ticker, matching, array_to_string(list_filter({_list(_CASE_WORDS)}, lambda w: NOT list_contains(found, w)), ',') AS gaps, CASE WHEN matching >= 2 THEN 'strong' ELSE 'moderate' END AS strength FROM g""")
+def risk_justification(s, p):
+    c = table(s, p, "document_chunks_sec").where("section = 'Item 1A'").select("id", text_key("document_id").alias("k"), "content")
+    f = table(s, p, "documents_sec").where("trim(ticker) <> ''").select(text_key("id").alias("k"), upper_key("ticker").alias("ticker")).distinct()
+    passages = c.join(f, "k").select("id", "ticker", "content").distinct().withColumn("confidence", F.lit(0.85))
+    return justification(passages, ["ticker"], _CASE_WORDS)
+
+
+@query("""SELECT least(floor(word_count / 250) * 250, 2000)::bigint AS bucket, count(*) AS n FROM (SELECT DISTINCT id, word_count FROM documents_sec) WHERE word_count IS NOT NULL GROUP BY 1""")
+def filing_lengths(s, p):
+    t = table(s, p, "documents_sec").where("word_count is not null").select("id", "word_count").distinct()
+    return t.groupBy(F.least(F.floor(F.col("word_count") / 250) * 250, F.lit(2000)).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT dimension, round(avg(least(75 + 5, 100) - score::double), 6) AS gap, count(CASE WHEN 80 - score > 20 THEN 1 END) AS high, count(CASE WHEN 80 - score > 10 AND 80 - score <= 20 THEN 1 END) AS medium FROM (SELECT DISTINCT id, lower(dimension) AS dimension, score FROM dimension_scores) WHERE score IS NOT NULL GROUP BY 1""")
+def dimension_gaps(s, p):
+    t = table(s, p, "dimension_scores").where("score is not null").select("id", F.lower("dimension").alias("dimension"), (80 - d("score")).alias("gap")).distinct()
+    return t.groupBy("dimension").agg(F.round(F.avg("gap"), 6).alias("gap"), F.count_if(F.col("gap") > 20).alias("high"), F.count_if((F.col("gap") > 10) & (F.col("gap") <= 20)).alias("medium"))
