@@ -47,14 +47,17 @@ def chain(df: DataFrame, places: int | None = 4) -> DataFrame:
     return df.withColumns({"ci_lower": clamp(F.col("final") - half, 0, 100), "ci_upper": clamp(F.col("final") + half, 0, 100)}).drop("_s", "_mean", "_sd", "_cv")
 
 
-def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column) -> DataFrame:
-    """Culture scores of groups of reviews: keyword hits weighted by recency and employment."""
+def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column, id_col: str = "id") -> DataFrame:
+    """Culture scores of groups of reviews, each id once: keyword hits weighted by recency and employment.
+
+    Hits are counted before repeated rows are dropped, so that no text is shuffled.
+    """
     text = F.lower(F.concat_ws(" ", "pros", "cons", "advice_to_management"))
     weight = F.when(F.datediff(as_of, "review_date") < 730, 1.0).otherwise(0.5) * F.when(F.col("is_current_employee"), 1.2).otherwise(1.0)
     n = lambda words: F.size(hits(text, words)) * weight
     rows = reviews.select(
-        *keys, "rating", "is_current_employee", (n(L.INNOVATION_POSITIVE) - n(L.INNOVATION_NEGATIVE)).alias("i"), n(L.DATA_DRIVEN).alias("d"), n(L.AI_AWARENESS).alias("a"), (n(L.CHANGE_POSITIVE) - n(L.CHANGE_NEGATIVE)).alias("c")
-    )
+        id_col, *keys, "rating", "is_current_employee", (n(L.INNOVATION_POSITIVE) - n(L.INNOVATION_NEGATIVE)).alias("i"), n(L.DATA_DRIVEN).alias("d"), n(L.AI_AWARENESS).alias("a"), (n(L.CHANGE_POSITIVE) - n(L.CHANGE_NEGATIVE)).alias("c")
+    ).dropDuplicates([id_col])
     mean = lambda c: F.sum(c) / F.count("*")
     scored = rows.groupBy(*keys).agg(
         F.count("*").alias("review_count"), clamp(mean("i") * 50 + 50, 0, 100).alias("innovation"), clamp(mean("d") * 100, 0, 100).alias("data_driven"), clamp(mean("a") * 100, 0, 100).alias("ai_awareness"),
@@ -66,15 +69,15 @@ def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column) -> Da
     return scored.withColumns({"overall": overall, "confidence": confidence})
 
 
-def governance(members: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Governance flags and score of boards: each flag adds its points to a base of 20."""
+def governance(members: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """Governance flags and score of boards, each member id once: each flag adds its points to a base of 20."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     any_of = lambda c, words: F.size(hits(low(c), words)) > 0
     office = any_of("title", L.DATA_OFFICERS) | F.arrays_overlap(F.split(low("title"), r"\s+"), F.array(*[F.lit(x) for x in ("caio", "cdo", "cto", "cio")]))
     rows = members.select(
-        *keys, any_of("committees", L.TECH_COMMITTEES).alias("tech"), any_of("bio", L.BOARD_EXPERTISE).alias("expert"), office.alias("office"), F.coalesce("is_independent", F.lit(False)).alias("independent"),
+        id_col, *keys, any_of("committees", L.TECH_COMMITTEES).alias("tech"), any_of("bio", L.BOARD_EXPERTISE).alias("expert"), office.alias("office"), F.coalesce("is_independent", F.lit(False)).alias("independent"),
         F.contains(low("committees"), F.lit("risk")).alias("risk"), any_of("bio", L.TECH_MENTIONS).alias("mention"),
-    )
+    ).dropDuplicates([id_col])
     g = rows.groupBy(*keys).agg(F.count("*").alias("members"), F.bool_or("tech").alias("has_tech_committee"), F.bool_or("expert").alias("has_ai_expertise"), F.bool_or("office").alias("has_data_officer"), (F.avg(F.col("independent").cast("int")) > 0.5).alias("has_independent_majority"), (F.bool_or("risk") & F.bool_or("mention")).alias("has_risk_tech_oversight"))
     points = {"has_tech_committee": 15, "has_ai_expertise": 20, "has_data_officer": 15, "has_independent_majority": 10, "has_risk_tech_oversight": 10}
     score = sum((F.col(c).cast("int") * p for c, p in points.items()), F.lit(20))

@@ -59,8 +59,8 @@ def tidy_texts(s, p):
 @query("""SELECT id, lower(regexp_replace(split_part(regexp_replace(source_url, '^[A-Za-z]+://', ''), '/', 1), '^www\\.', '')) AS host, strftime(filing_date, '%Y') AS year, upper(regexp_replace(filing_type, '[\\s-]+', '', 'g')) AS form,
 date_diff('day', filing_date, created_at::date)::bigint AS days_late FROM (SELECT DISTINCT * FROM documents_sec)""")
 def filing_fields(s, p):
-    t = table(s, p, "documents_sec").distinct()
-    return t.select("id", domain(F.col("source_url")).alias("host"), F.date_format("filing_date", "yyyy").alias("year"), filing_form(F.col("filing_type")).alias("form"), F.datediff(F.to_date("created_at"), "filing_date").cast("bigint").alias("days_late"))
+    t = table(s, p, "documents_sec")
+    return t.select("id", domain(F.col("source_url")).alias("host"), F.date_format("filing_date", "yyyy").alias("year"), filing_form(F.col("filing_type")).alias("form"), F.datediff(F.to_date("created_at"), "filing_date").cast("bigint").alias("days_late")).distinct()
 
 
 @query("""SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g'), '(^| )(inc|incorporated|corp|corporation|llc|ltd|limited|plc|co|company|gmbh|lp)( |$)', ' ', 'g'), ' +', ' ', 'g')) AS name FROM supplier""")
@@ -104,7 +104,7 @@ least(100, greatest(0, sum(w * ({_hits("t", L.CHANGE_POSITIVE)} - {_hits("t", L.
 SELECT company_id, review_count, round(innovation, 6) AS innovation, round(data_driven, 6) AS data_driven, round(ai_awareness, 6) AS ai_awareness, round(change_readiness, 6) AS change_readiness,
 round(0.30::double * innovation + 0.25::double * data_driven + 0.25::double * ai_awareness + 0.20::double * change_readiness, 6) AS overall FROM g""")
 def culture(s, p):
-    t = culture_scores(table(s, p, "glassdoor_reviews").distinct(), ["company_id"], F.lit("2025-06-30").cast("date"))
+    t = culture_scores(table(s, p, "glassdoor_reviews"), ["company_id"], F.lit("2025-06-30").cast("date"))
     return t.select("company_id", "review_count", *[F.round(c, 6).alias(c) for c in ("innovation", "data_driven", "ai_awareness", "change_readiness", "overall")])
 
 
@@ -113,7 +113,7 @@ def culture(s, p):
 contains(lower(coalesce(committees, '')), 'risk') AS risk, {_hits("lower(coalesce(bio, ''))", L.TECH_MENTIONS)} > 0 AS mention FROM (SELECT DISTINCT * FROM board_members) WHERE trim(governance_signal_id) <> '')
 SELECT signal, count(*) AS members, (20 + 15 * bool_or(tech)::int + 20 * bool_or(expert)::int + 15 * bool_or(office)::int + 10 * (avg(ind::int) > 0.5)::int + 10 * (bool_or(risk) AND bool_or(mention))::int)::bigint AS governance FROM m GROUP BY signal""")
 def board_governance(s, p):
-    t = table(s, p, "board_members").distinct().withColumn("signal", text_key("governance_signal_id")).where("signal is not null")
+    t = table(s, p, "board_members").withColumn("signal", text_key("governance_signal_id")).where("signal is not null")
     return governance(t, ["signal"]).select("signal", "members", "governance")
 
 
@@ -124,7 +124,7 @@ _ALIAS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.DIMENSION_ALIASES.items
 
 
 def _scored(s, p, places=None):
-    t = table(s, p, "dimension_scores").distinct().withColumns({"assessment": text_key("assessment_id"), "dim": dimension_name(F.col("dimension")), "x": d("score")}).where("assessment is not null")
+    t = table(s, p, "dimension_scores").select("id", text_key("assessment_id").alias("assessment"), dimension_name(F.col("dimension")).alias("dim"), d("score").alias("x"), "evidence_count").where("assessment is not null").dropDuplicates(["id"])
     wide = t.groupBy("assessment").agg(*[F.coalesce(F.avg(F.when(F.col("dim") == x, F.col("x"))), F.lit(50.0)).alias(x) for x in L.DIMENSIONS], F.sum("evidence_count").cast("bigint").alias("evidence_count"))
     return chain(wide.withColumns({"talent_concentration": F.lit(0.3), "percentile": F.lit(0.5), "sector": F.lit("technology")}), places)
 
@@ -246,7 +246,7 @@ def merged_directors(s, p):
 g AS (SELECT company_id, count(*) AS n, count(CASE WHEN level = 'senior' THEN 1 END) AS senior, count(DISTINCT title) AS skills FROM j GROUP BY 1)
 SELECT company_id, n, round(least(1, greatest(0, 0.4::double * senior / n + 0.3::double * least(1, 1 / (sqrt(n) + 0.1::double)) + 0.2::double * greatest(0, 1 - skills / 15))), 6) AS concentration FROM g""")
 def talent_concentration(s, p):
-    t = table(s, p, "glassdoor_reviews").distinct().where("job_title is not null").select("company_id", F.col("job_title").alias("title"), F.when(F.lower("job_title").rlike("senior|lead|head|manager|director"), "senior").otherwise("other").alias("level"))
+    t = table(s, p, "glassdoor_reviews").where("job_title is not null").select("id", "company_id", F.col("job_title").alias("title"), F.when(F.lower("job_title").rlike("senior|lead|head|manager|director"), "senior").otherwise("other").alias("level")).distinct()
     return concentration(t, "company_id").select("company_id", "n", F.round("concentration", 6).alias("concentration"))
 
 

@@ -268,7 +268,7 @@ def top3_rating(s, p):
 @query("""SELECT lower(dimension) AS dimension, count(*) AS n, round(sum(score::double * weight::double) / sum(CASE WHEN score IS NOT NULL THEN weight::double END), 6) AS weighted, round(avg(confidence::double), 6) AS confidence, count(DISTINCT assessment_id) AS assessments
 FROM (SELECT DISTINCT * FROM dimension_scores) GROUP BY 1""")
 def dimension_rollup(s, p):
-    t = table(s, p, "dimension_scores").distinct().withColumns({"sc": d("score"), "w": d("weight")})
+    t = table(s, p, "dimension_scores").select("id", "dimension", "assessment_id", "confidence", d("score").alias("sc"), d("weight").alias("w")).distinct()
     weight = F.sum(F.when(F.col("sc").isNotNull(), F.col("w")))
     return t.groupBy(F.lower("dimension").alias("dimension")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("sc") * F.col("w")) / weight, 6).alias("weighted"), F.round(F.avg(d("confidence")), 6).alias("confidence"), F.countDistinct("assessment_id").alias("assessments"))
 
