@@ -24,3 +24,9 @@ def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
     The rows are counted by a job of their own, so pass only cheap plans: scans, or what ``cut`` returned.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it comes in far fewer partitions, as a small file does; else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

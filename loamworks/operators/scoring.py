@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamworks.functions import lexicons as L
 from loamworks.functions.numeric import clamp, ratio
-from loamworks.functions.text import hits
+from loamworks.functions.text import hit_count
 
 
 def dimension_name(c: Column) -> Column:
@@ -54,8 +54,8 @@ def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column, id_co
     """
     text = F.lower(F.concat_ws(" ", "pros", "cons", "advice_to_management"))
     weight = F.when(F.datediff(as_of, "review_date") < 730, 1.0).otherwise(0.5) * F.when(F.col("is_current_employee"), 1.2).otherwise(1.0)
-    n = lambda words: F.size(hits(text, words)) * weight
-    rows = reviews.select(
+    n = lambda words: hit_count(F.col("_text"), words) * F.col("_weight")
+    rows = reviews.select(id_col, *keys, "rating", "is_current_employee", text.alias("_text"), weight.alias("_weight")).select(
         id_col, *keys, "rating", "is_current_employee", (n(L.INNOVATION_POSITIVE) - n(L.INNOVATION_NEGATIVE)).alias("i"), n(L.DATA_DRIVEN).alias("d"), n(L.AI_AWARENESS).alias("a"), (n(L.CHANGE_POSITIVE) - n(L.CHANGE_NEGATIVE)).alias("c")
     ).dropDuplicates([id_col])
     mean = lambda c: F.sum(c) / F.count("*")
@@ -72,11 +72,11 @@ def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column, id_co
 def governance(members: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
     """Governance flags and score of boards, each member id once: each flag adds its points to a base of 20."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    any_of = lambda c, words: F.size(hits(low(c), words)) > 0
-    office = any_of("title", L.DATA_OFFICERS) | F.arrays_overlap(F.split(low("title"), r"\s+"), F.array(*[F.lit(x) for x in ("caio", "cdo", "cto", "cio")]))
-    rows = members.select(
+    any_of = lambda c, words: hit_count(F.col(f"_{c}"), words) > 0
+    office = any_of("title", L.DATA_OFFICERS) | F.arrays_overlap(F.split(F.col("_title"), r"\s+"), F.array(*[F.lit(x) for x in ("caio", "cdo", "cto", "cio")]))
+    rows = members.select(id_col, *keys, "is_independent", *[low(c).alias(f"_{c}") for c in ("title", "committees", "bio")]).select(
         id_col, *keys, any_of("committees", L.TECH_COMMITTEES).alias("tech"), any_of("bio", L.BOARD_EXPERTISE).alias("expert"), office.alias("office"), F.coalesce("is_independent", F.lit(False)).alias("independent"),
-        F.contains(low("committees"), F.lit("risk")).alias("risk"), any_of("bio", L.TECH_MENTIONS).alias("mention"),
+        F.contains("_committees", F.lit("risk")).alias("risk"), any_of("bio", L.TECH_MENTIONS).alias("mention"),
     ).dropDuplicates([id_col])
     g = rows.groupBy(*keys).agg(F.count("*").alias("members"), F.bool_or("tech").alias("has_tech_committee"), F.bool_or("expert").alias("has_ai_expertise"), F.bool_or("office").alias("has_data_officer"), (F.avg(F.col("independent").cast("int")) > 0.5).alias("has_independent_majority"), (F.bool_or("risk") & F.bool_or("mention")).alias("has_risk_tech_oversight"))
     points = {"has_tech_committee": 15, "has_ai_expertise": 20, "has_data_officer": 15, "has_independent_majority": 10, "has_risk_tech_oversight": 10}

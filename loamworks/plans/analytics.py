@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from loamworks.functions import lexicons as L
 from loamworks.functions.keys import text_key, upper_key
-from loamworks.functions.text import company_name, domain, filing_form, garbage, hits, tidy, tokens, whole_word_hits, word_count
+from loamworks.functions.text import company_name, domain, filing_form, garbage, hit_count, tidy, tokens, whole_word_hits, word_count
 from loamworks.operators.documents import chunked, clean_lines, primary_document, section_bounds, visible_text, within_budget
 from loamworks.operators.evidence import concentration, justification, merged_members, rubric_confidence, rubric_level, to_dimensions
 from loamworks.operators.ranking import reciprocal_rank_fusion
@@ -40,8 +40,8 @@ def _hits(text: str, words) -> str:
 @query(f"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::bigint AS words, sha256(text) AS hash, {_hits("lower(text)", L.FILING_TERMS)}::bigint AS terms,
 len(list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> ''))::bigint AS tokens FROM documents WHERE text IS NOT NULL""")
 def text_statistics(s, p):
-    t = table(s, p, "documents").where("text is not null")
-    return t.select("doc_id", word_count(F.col("text")).alias("words"), F.sha2("text", 256).alias("hash"), F.size(hits(F.col("text"), L.FILING_TERMS)).cast("bigint").alias("terms"), F.size(tokens(F.col("text"))).cast("bigint").alias("tokens"))
+    t = table(s, p, "documents").where("text is not null").select("doc_id", "text", F.lower("text").alias("low"))
+    return t.select("doc_id", word_count(F.col("text")).alias("words"), F.sha2("text", 256).alias("hash"), hit_count(F.col("low"), L.FILING_TERMS).cast("bigint").alias("terms"), F.size(tokens(F.col("text"))).cast("bigint").alias("tokens"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(['cloud', 'pilot', 'risk', 'automation', 'analytics'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9_])' || w || '([^a-z0-9_]|$)')), ',') AS words FROM documents WHERE text IS NOT NULL""")
