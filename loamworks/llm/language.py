@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.operators.lineage import spread
+
 # Languages, and other spellings of their codes.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 SPELLINGS = {
@@ -29,8 +31,8 @@ NO_LANGUAGE = ("und", "unknown", "unk", "xx", "xxx", "mul", "mis", "zxx", "none"
 WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"(?:(?<=[.!?…])|(?<=[.!?…][\"')\]»”]))\s+|\n\s*\n\s*|\n\s*(?=[-*•])|(?<=:)\n\s*")
 
-#: Labelled documents that the model is fitted on, at most; rounds of relabelling; least count of a known word; n-grams.
-MAX_SAMPLE, ROUNDS, MIN_COUNT, LONGEST = 20_000, 2, 3, 5
+#: Labelled documents that the model is fitted on, at most; rounds of relabelling; least count of a known word and of one that gives n-grams; longest n-gram.
+MAX_SAMPLE, ROUNDS, MIN_COUNT, GRAM_COUNT, LONGEST = 20_000, 2, 3, 2, 5
 #: A sentence has so many words; a further language needs a sentence of so many, ahead of the main one by so many nats.
 MIN_WORDS, OTHER_WORDS, OTHER_MARGIN, OTHER_WORD_MARGIN = 3, 4, 6.0, 0.6
 
@@ -77,7 +79,8 @@ class Model:
         gram_scores = np.zeros((0, width))
         if backoff:
             at, of = [], []
-            for i, w in enumerate(names):
+            for i in np.flatnonzero(table.sum(1) >= GRAM_COUNT):
+                w = names[i]
                 padded = f"_{w}_"
                 for n in range(1, LONGEST + 1):
                     for k in range(len(padded) - n + 1):
@@ -166,7 +169,7 @@ def fit(documents: DataFrame, languages: Sequence[str] = LANGUAGES, max_sample:
     """A model of the labelled documents, of which at most about ``max_sample`` are taken by a hash of their ids."""
     labelled = documents.where("text is not null").select("doc_id", "text", label_code("lang").alias("lang")).where(F.col("lang").isin(*languages))
     share = min(1.0, max_sample / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "lang").persist()
+    sample = spread(labelled).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "lang").persist()
     codes = tuple(languages)
 
     def count(batches: Iterator[pd.DataFrame], known=None) -> Iterator[pd.DataFrame]:
@@ -203,7 +206,7 @@ def language_passages(documents: DataFrame, model: Model) -> DataFrame:
             rows = [(doc, m.languages[k], a, e, c, label) for doc, label, parts in zip(b["doc_id"], b["label"], _assigned(list(b["text"]), m), strict=True) for k, a, e, c in _passages(parts)]
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "start", "end", "confidence", "label"])
 
-    rows = documents.where("text is not null").select("doc_id", "text", label_code("lang").alias("label"))
+    rows = spread(documents.where("text is not null").select("doc_id", "text", label_code("lang").alias("label")))
     return rows.mapInPandas(assign, "doc_id bigint, lang string, start bigint, end bigint, confidence double, label string")
 
 

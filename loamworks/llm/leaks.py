@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.operators.lineage import spread
+
 WORD = re.compile(r"[^\W_]+")
 #: Words in a row that make a leak; items per automaton, which bounds what is collected and broadcast at a time.
 MIN_WORDS, MAX_ITEMS = 13, 5_000
@@ -90,7 +92,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
                         found.append((doc, entries[k][0], spans[a][0], spans[a + n - 1][1], n))
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end", "n_words"])
 
-        part_out = documents.where("text is not null").select("doc_id", "text").mapInPandas(scan, "doc_id bigint, item_id bigint, start bigint, end bigint, n_words bigint")
+        part_out = spread(documents.where("text is not null").select("doc_id", "text")).mapInPandas(scan, "doc_id bigint, item_id bigint, start bigint, end bigint, n_words bigint")
         out = part_out if out is None else out.unionByName(part_out)
     return out
 

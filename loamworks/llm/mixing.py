@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from loamworks.operators.lineage import cut
+from loamworks.operators.lineage import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public tokenizer splits a text before merging bytes.
@@ -37,7 +37,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield b.drop(columns="text").assign(n_tokens=[len(coder.encode_ordinary(t)) for t in b["text"]])
 
     rows = documents.where("text is not null and text <> ''").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 32).alias("text_key"), "text")
-    return rows.mapInPandas(count, "doc_id bigint, source string, text_key string, n_tokens bigint").dropDuplicates(["doc_id"])
+    return spread(rows).mapInPandas(count, "doc_id bigint, source string, text_key string, n_tokens bigint").dropDuplicates(["doc_id"])
 
 
 class _Flow:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loamworks.llm.lexicon import COURTESY_TITLES, GIVEN_NAMES, NICKNAMES, WORD_NAMES
 from loamworks.llm.quality import COMMON_WORDS
+from loamworks.operators.lineage import spread
 
 TYPES = ("email", "id_number", "phone", "address", "name")
 #: Spans the classifier is fitted on, at most; buckets of its word features; probability from which a span is replaced.
@@ -276,7 +277,7 @@ def fit_classifier(rows: Sequence[tuple], target: dict, rounds: int = 400, rate:
 
 def _fields(reviews: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("f")
-    return reviews.select(F.col(id_col).cast("string").alias("row_id"), stacked).select("row_id", "f.field_name", "f.text").where("text is not null and trim(text) <> ''")
+    return spread(reviews.select(id_col, *fields)).select(F.col(id_col).cast("string").alias("row_id"), stacked).select("row_id", "f.field_name", "f.text").where("text is not null and trim(text) <> ''")
 
 
 def fit(reviews: DataFrame, fields: Sequence[str], id_col: str = "id", max_sample: int = MAX_SAMPLE) -> np.ndarray:
@@ -332,5 +333,5 @@ def redact(reviews: DataFrame, weights: np.ndarray, fields: Sequence[str], id_co
         for b in batches:
             yield b.assign(**{f: [redacted(t, weights, threshold) if isinstance(t, str) else None for t in b[f]] for f in fields})
 
-    rows = reviews.select(F.col(id_col).cast("string").alias("row_id"), *fields)
+    rows = spread(reviews.select(F.col(id_col).cast("string").alias("row_id"), *fields))
     return rows.mapInPandas(replace, "row_id string, " + ", ".join(f"{f} string" for f in fields)).dropDuplicates(["row_id"])
