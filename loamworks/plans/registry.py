@@ -1,7 +1,7 @@
 """All queries outside the subpackage for training text."""
 
-from loamworks.plans import analytics, quality, relational
+from loamworks.plans import analytics, extra, quality, relational
 
 FLAGSHIP = "score_chain"
-QUERIES = {**analytics.QUERIES, **relational.QUERIES, **quality.QUERIES}
-SQL = {**analytics.SQL, **relational.SQL, **quality.SQL}
+QUERIES = {**analytics.QUERIES, **extra.QUERIES, **relational.QUERIES, **quality.QUERIES}
+SQL = {**analytics.SQL, **extra.SQL, **relational.SQL, **quality.SQL}
