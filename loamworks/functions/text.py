@@ -22,12 +22,6 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
 
 
-def hits(c: Column, words: Sequence[str]) -> Column:
-    """The words that stand in the text as substrings, in any case."""
-    low = F.lower(c)
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-
-
 def hit_count(low: Column, words: Sequence[str]) -> Column:
     """How many of the words stand as substrings in a text that is in lower case; generated code, unlike a filter over an array."""
     return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
