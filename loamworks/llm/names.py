@@ -41,6 +41,12 @@ def plain(text: str) -> str:
 _KNOWN = frozenset(plain(x) for x in KNOWN_GIVEN)
 
 
+def given_forms(name: str) -> set:
+    """A given name, the full names it may stand for and their short forms."""
+    full = canonical_given(name)
+    return {n for g in full for n in NICKNAMES.get(g, "").split()} | full
+
+
 def canonical_given(name: str) -> frozenset:
     """The full names that a given name may stand for, itself among them."""
     return _CANON.get(name, frozenset()) | {name}
@@ -73,11 +79,12 @@ def parsed(raw: str | None) -> tuple[str, str, str, str, str] | None:
     text = re.sub(r"\b(?:ph\.?\s?d|m\.\s?d|m\.\s?s(?:c)?|b\.\s?s(?:c)?|j\.\s?d|m\.\s?b\.\s?a|ll\.\s?m)\b\.?", " ", text)
     parts = [p for p in text.replace("'", "").replace("’", "").split(",")]
     tokens = [[t for t in re.findall(r"[a-z]+", p)] for p in parts]
-    lone_ms = re.match(r"\s*MS\s+[^\W\d_]+\W*$", upper) is not None
+    lone = re.match(r"\s*(MS|MR|DR)\s+[^\W\d_]+(?:-[^\W\d_]+)*\W*$", upper)
+    initials = lone.group(1).lower() if lone and (lone.group(1) == "MS" or upper != upper.upper()) else ""
     kept, generation = [], ""
     for i, p in enumerate(tokens):
         q = list(p)
-        while q and q[0] in COURTESY_TITLES and not (lone_ms and q[0] == "ms"):
+        while q and q[0] in COURTESY_TITLES and q[0] != initials:
             q = q[1:]
         while q and q[-1] in SUFFIXES and (len(q) > 1 or i):
             generation = GENERATIONS.get(q[-1], generation)
@@ -146,12 +153,15 @@ def distance(a: str, b: str, most: int) -> int:
 SAME, NICKNAME, TYPO, INITIAL, STRONG = 6.0, 5.0, 3.5, 2.0, 8.0
 
 
-def agreement(a: tuple, b: tuple, lone: bool) -> tuple[str, float]:
-    """How two parsed names agree: "full", "initial" or "" with points. ``lone``: one of the spellings stands only once."""
+def agreement(a: tuple, b: tuple, lone: bool, odd: bool = True) -> tuple[str, float]:
+    """How two parsed names agree: "full", "initial" or "" with points.
+
+    ``lone``: one of the names stands only once; ``odd``: so does one of the spellings of the family name, as typing errors do.
+    """
     kind, fa, ga, ma, na = a
     _, fb, gb, mb, nb = b
     gap = distance(fa, fb, 2)
-    if na != nb or gap > 2:
+    if na != nb or gap > 2 or gap and not odd:
         return "", 0.0
     if kind == "org":
         if ma and mb and ma != mb or gap > (2 if lone and min(len(fa), len(fb)) >= 10 else 1):
@@ -171,7 +181,7 @@ def agreement(a: tuple, b: tuple, lone: bool) -> tuple[str, float]:
     elif ga in _KNOWN and gb in _KNOWN:
         return "", 0.0
     else:
-        near = max(distance(x, y, 2) <= (2 if min(len(x), len(y)) >= 5 else 1) for x in canonical_given(ga) for y in canonical_given(gb))
+        near = any(distance(x, y, 2) <= (2 if min(len(x), len(y)) >= 5 else 1) for x in given_forms(ga) for y in given_forms(gb))
         if not near or gap > 1:
             return "", 0.0
         points = TYPO
@@ -209,7 +219,8 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
     seat = seats.select(F.col(id_col).cast("string").alias("member_id"), F.col(name_col).alias("name")).where("name is not null and member_id is not null").dropDuplicates(["member_id"])
     counts = seat.groupBy("name").agg(F.count("*").alias("n"))
     read = cut(counts.select("name").mapInPandas(parse, "name string, kind string, family string, given string, middle string, generation string, node string").join(counts, "name"))
-    nodes = cut(read.groupBy("node", "kind", "family", "given", "middle", "generation").agg(F.sum("n").alias("n")))
+    nodes = read.groupBy("node", "kind", "family", "given", "middle", "generation").agg(F.sum("n").alias("n"))
+    nodes = cut(nodes.join(nodes.groupBy("kind", "family").agg(F.sum("n").alias("of_family")), ["kind", "family"]))
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -220,7 +231,7 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
     shared = cut(forms.join(forms.groupBy("form").agg(F.count("*").alias("df")).where("df > 1"), "form"))
     pairs = shared.alias("x").join(shared.alias("y"), (F.col("x.form") == F.col("y.form")) & (F.col("x.node") < F.col("y.node"))).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("x.df").alias("df"))
     total = nodes.agg(F.count("*").alias("total"))
-    known = nodes.select("node", F.struct("kind", "family", "given", "middle", "generation", "n").alias("p"))
+    known = nodes.select("node", F.struct("kind", "family", "given", "middle", "generation", "n", "of_family").alias("p"))
     sides = pairs.join(known.withColumnsRenamed({"node": "a", "p": "pa"}), "a").join(known.withColumnsRenamed({"node": "b", "p": "pb"}), "b").join(F.broadcast(total))
     rarity = F.log2(F.lit(2.0) + F.col("total")) - F.log2(F.col("df"))
 
@@ -229,7 +240,7 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
         for b in batches:
             rows = []
             for x, y, p, q, bits in zip(b["a"], b["b"], b["pa"], b["pb"], b["rarity"], strict=True):
-                how, points = agreement(tuple(p[x] for x in parts), tuple(q[x] for x in parts), min(p["n"], q["n"]) == 1)
+                how, points = agreement(tuple(p[x] for x in parts), tuple(q[x] for x in parts), min(p["n"], q["n"]) == 1, min(p["of_family"], q["of_family"]) == 1)
                 if how:
                     rows.append((x, y, how, points, points + min(bits, 6.0)))
             yield pd.DataFrame(rows, columns=["a", "b", "how", "points", "score"])
