@@ -56,6 +56,11 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir)
 
 
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts among the statistics, which need no furniture."""
+    return quality.text_statistics(table(spark, sf_dir, "document_chunks_sec")).select("chunk_id", F.coalesce(F.col("stored_word_count").cast("string"), F.lit("")).alias("stored_word_count"), "n_chars", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -97,12 +102,15 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
     "p1_clean": _LINES + """, g AS (SELECT DISTINCT id, line_no FROM k JOIN h USING (site, k)), a AS (SELECT DISTINCT id, string_split(content, chr(10)) AS lines FROM document_chunks_sec),
 u AS (SELECT id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM a), m AS (SELECT u.id, string_agg(line, chr(10) ORDER BY u.line_no) FILTER (WHERE g.id IS NULL) AS content, count(g.id) AS n FROM u LEFT JOIN g ON u.id = g.id AND u.line_no = g.line_no GROUP BY u.id)
 SELECT a.id AS chunk_id, CASE WHEN a.lines IS NOT NULL THEN coalesce(m.content, '') END AS content, coalesce(m.n, 0) AS n_removed FROM a LEFT JOIN m ON m.id = a.id""",
+    "p5_counts": r"""
+WITH c AS (SELECT DISTINCT id, coalesce(content, '') AS t, word_count FROM document_chunks_sec), w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda x: x <> '') AS w FROM c)
+SELECT id AS chunk_id, coalesce(word_count::varchar, '') AS stored_word_count, length(t)::bigint AS n_chars, len(w)::bigint AS n_words, round(length(array_to_string(w, '')) / nullif(len(w), 0), 6) AS mean_word_length FROM w""",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)), ig AS (SELECT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
