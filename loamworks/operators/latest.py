@@ -19,13 +19,20 @@ def once(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def latest_batch(df: DataFrame, keys: Sequence[str], day: Column, stamp: str, minutes: int) -> DataFrame:
-    """Of each key, the rows of its newest day that lie within ``minutes`` of its newest stamp there; rows without one only if no row has one."""
+    """Of each key, the rows of its newest day that lie within ``minutes`` of its newest stamp there; rows without one only if no row has one.
+
+    One row a key, with its newest day and stamp, is joined back, so that a hot key is not one task's. Null keys do not come out.
+    """
     keyed = df.withColumn("_day", day)
-    newest = keyed.withColumn("_newest", F.max("_day").over(Window.partitionBy(*keys))).where("_day = _newest")
-    w = Window.partitionBy(*keys)
-    cut = newest.withColumn("_last", F.max(stamp).over(w))
+    newest = keyed.groupBy(*keys).agg(F.max(F.struct("_day", F.col(stamp).alias("_last"))).alias("_new")).select(*keys, F.col("_new._day").alias("_newest"), F.col("_new._last").alias("_last"))
     near = F.unix_micros(F.to_timestamp(F.col("_last"))) - F.unix_micros(F.to_timestamp(F.col(stamp))) <= minutes * 60_000_000
-    return cut.where(F.col("_last").isNull() | near).drop("_day", "_newest", "_last")
+    return keyed.join(newest, list(keys)).where(F.col("_day") == F.col("_newest")).where(F.col("_last").isNull() | near).select(*df.columns)
+
+
+def repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` that are not the first of their keys by ``order``, which ends with a unique column; nulls in ``order`` come last."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c))])).alias("_first")).select(*keys, F.col(f"_first.{order[-1]}").alias("_first"))
+    return df.join(first, list(keys)).where(F.col(order[-1]) != F.col("_first")).select(*df.columns)
 
 
 def trend(df: DataFrame, key: str, day: str, score: str, as_of: Column, band: float = 5.0) -> DataFrame:

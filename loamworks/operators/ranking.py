@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def position_in_group(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """``df`` with ``pct``: the 1-based place after an ascending sort within the group, over the group's size."""
+def position_in_group(df: DataFrame, group: str, score: str, tie: str, parts: int = 100) -> DataFrame:
+    """``df`` with ``pct``: the 1-based place after an ascending sort within the group, over the group's size; null scores come first.
+
+    A group is cut into about ``parts`` ranges of scores at its approximate quantiles, each sorted by itself; a place is the
+    count of the ranges before it and the place within. Null groups do not come out.
+    """
+    points = df.groupBy(group).agg(F.percentile_approx(score, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10 * parts).alias("_points"))
+    placed = df.join(points, group).withColumn("_part", F.size(F.filter(F.coalesce("_points", F.array().cast("array<double>")), lambda x: x < F.col(score))))
+    counts = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group)
-    return df.withColumn("pct", F.row_number().over(w.orderBy(score, tie)) / F.count("*").over(w))
+    before = counts.select(group, "_part", (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    inside = placed.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_part").orderBy(score, tie)))
+    return inside.join(before, [group, "_part"]).select(*df.columns, ((F.col("_before") + F.col("_place")) / F.col("_all")).alias("pct"))
 
 
 def top_mean(df: DataFrame, keys: Sequence[str], score: str, n: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from loamworks.functions.keys import text_key, upper_key
 from loamworks.functions.numeric import level, noisy_or
 from loamworks.functions.text import filing_form, shortened
 from loamworks.operators.changes import delete_keys, insert_absent, patch, soft_delete, upsert, with_defaults
-from loamworks.operators.latest import latest_batch, latest_per_key, once, trend
+from loamworks.operators.latest import latest_batch, latest_per_key, once, repeats, trend
 from loamworks.operators.ranking import position_in_group, running_budget, top_mean
 from loamworks.sources import table
 
@@ -185,19 +185,19 @@ def sector_percentile(s, p):
 
 
 @query("""WITH l AS (SELECT upper(trim(ticker)) AS ticker, max(governance_score)::double AS governance FROM board_governance_signals WHERE trim(ticker) <> '' GROUP BY 1), c AS (SELECT upper(trim(ticker)) AS ticker, max(overall_score)::double AS culture FROM culture_signals WHERE trim(ticker) <> '' GROUP BY 1)
-SELECT row_number() OVER (ORDER BY governance DESC NULLS LAST, l.ticker) AS place, l.ticker, governance, culture FROM l LEFT JOIN c USING (ticker)""")
+SELECT row_number() OVER (ORDER BY governance DESC NULLS LAST, l.ticker) AS place, l.ticker, governance, culture FROM l LEFT JOIN c USING (ticker) ORDER BY 1 LIMIT 100""")
 def leaderboard(s, p):
     named = lambda t, c, to: table(s, p, t).where("trim(ticker) <> ''").groupBy(upper_key("ticker").alias("ticker")).agg(F.max(d(c)).alias(to))
     t = named("board_governance_signals", "governance_score", "governance").join(named("culture_signals", "overall_score", "culture"), "ticker", "left")
-    return t.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("governance"), "ticker")).cast("bigint").alias("place"), "ticker", "governance", "culture")  # one row a company
+    order = [F.desc_nulls_last("governance"), F.col("ticker")]
+    return t.orderBy(*order).limit(100).select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"), "ticker", "governance", "culture")  # at most 100 rows
 
 
 @query("""SELECT id, ticker, form FROM (SELECT id, ticker, form, row_number() OVER (PARTITION BY ticker, form, content_hash ORDER BY created_at NULLS LAST, id) AS r
-FROM (SELECT DISTINCT id, upper(trim(ticker)) AS ticker, upper(regexp_replace(filing_type, '[\\s-]+', '', 'g')) AS form, content_hash, created_at FROM documents_sec WHERE content_hash IS NOT NULL)) WHERE r > 1""")
+FROM (SELECT DISTINCT id, upper(trim(ticker)) AS ticker, upper(regexp_replace(filing_type, '[\\s-]+', '', 'g')) AS form, content_hash, created_at FROM documents_sec WHERE content_hash IS NOT NULL AND trim(ticker) <> '' AND filing_type IS NOT NULL)) WHERE r > 1""")
 def filings_filed_again(s, p):
     t = table(s, p, "documents_sec").where("content_hash is not null").select("id", upper_key("ticker").alias("ticker"), filing_form(F.col("filing_type")).alias("form"), "content_hash", "created_at").distinct()
-    w = Window.partitionBy("ticker", "form", "content_hash").orderBy(F.asc_nulls_last("created_at"), "id")
-    return t.withColumn("r", F.row_number().over(w)).where("r > 1").select("id", "ticker", "form")
+    return repeats(t.where("ticker is not null and form is not null"), ["ticker", "form", "content_hash"], ["created_at", "id"]).select("id", "ticker", "form")
 
 
 @query("""SELECT c_custkey, coalesce(n.n_nationkey, (SELECT min(n_nationkey) FROM nation))::int AS nation FROM customer LEFT JOIN nation n ON c_nationkey = n.n_nationkey AND n.n_regionkey <> 0""")

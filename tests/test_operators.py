@@ -11,7 +11,7 @@ from loamworks.functions.numeric import level, noisy_or
 from loamworks.functions.text import company_name, domain, shortened, tidy, word_count
 from loamworks.operators import changes
 from loamworks.operators.documents import chunked, clean_lines, packed_sentences, section_bounds, within_budget
-from loamworks.operators.latest import latest_batch, latest_per_key, trend
+from loamworks.operators.latest import latest_batch, latest_per_key, repeats, trend
 from loamworks.operators.ranking import position_in_group, reciprocal_rank_fusion, running_budget, top_mean
 from loamworks.operators.retrieval import bm25_top, cosine_top
 from loamworks.operators.scoring import chain, culture_scores, governance
@@ -103,6 +103,21 @@ def test_latest_batch_keeps_what_is_near_the_newest(spark):
     assert latest_batch(t, ["k"], F.to_date("ts"), "ts", 45).count() == 2
 
 
+def test_position_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [("abc"[0 if i % 10 < 8 else i % 3], float(x) if x else None, i) for i, x in enumerate(rng.integers(0, 40, 600))]
+    got = {r["i"]: r["pct"] for r in position_in_group(spark.createDataFrame(rows, "g string, s double, i int"), "g", "s", "i", 7).collect()}
+    for g in "abc":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in own] == pytest.approx([(k + 1) / len(own) for k in range(len(own))])
+
+
+def test_repeats_leave_the_first(spark):
+    t = spark.createDataFrame([("a", None, "1"), ("a", 5, "3"), ("a", 5, "2"), ("b", None, "4")], "k string, at int, id string")
+    assert sorted(r["id"] for r in repeats(t, ["k"], ["at", "id"]).collect()) == ["1", "3"]
+    assert repeats(t.where("false"), ["k"], ["at", "id"]).count() == 0
+
+
 def test_ranking(spark):
     t = spark.createDataFrame([("a", 1.0, 1), ("a", 1.0, 2), ("a", 5.0, 3), ("b", None, 4)], "g string, s double, i int")
     assert [r["pct"] for r in position_in_group(t.where("g = 'a'"), "g", "s", "i").orderBy("i").collect()] == pytest.approx([1 / 3, 2 / 3, 1])
