@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamworks.functions.text import tokens
+from loamworks.operators.lineage import spread
 
 #: Query vectors multiplied at a time, which bounds the broadcast.
 QUERY_BLOCK = 2_000
@@ -77,7 +78,7 @@ def bm25_top(documents: DataFrame, queries: DataFrame, k: int, k1: float = 1.5,
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = F.broadcast(terms.select("term").distinct())  # the words of the stated queries
-    lengths = documents.where("text is not null").select("doc_id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    lengths = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     tf = lengths.select("doc_id", "len", F.explode("w").alias("term")).join(wanted, "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))

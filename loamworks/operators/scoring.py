@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamworks.functions import lexicons as L
 from loamworks.functions.numeric import clamp, ratio
 from loamworks.functions.text import hit_count
+from loamworks.operators.lineage import spread
 
 
 def dimension_name(c: Column) -> Column:
@@ -55,7 +56,7 @@ def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column, id_co
     text = F.lower(F.concat_ws(" ", "pros", "cons", "advice_to_management"))
     weight = F.when(F.datediff(as_of, "review_date") < 730, 1.0).otherwise(0.5) * F.when(F.col("is_current_employee"), 1.2).otherwise(1.0)
     n = lambda words: hit_count(F.col("_text"), words) * F.col("_weight")
-    rows = reviews.select(id_col, *keys, "rating", "is_current_employee", text.alias("_text"), weight.alias("_weight")).select(
+    rows = spread(reviews.select(id_col, *keys, "rating", "is_current_employee", text.alias("_text"), weight.alias("_weight"))).select(
         id_col, *keys, "rating", "is_current_employee", (n(L.INNOVATION_POSITIVE) - n(L.INNOVATION_NEGATIVE)).alias("i"), n(L.DATA_DRIVEN).alias("d"), n(L.AI_AWARENESS).alias("a"), (n(L.CHANGE_POSITIVE) - n(L.CHANGE_NEGATIVE)).alias("c")
     ).dropDuplicates([id_col])
     mean = lambda c: F.sum(c) / F.count("*")
