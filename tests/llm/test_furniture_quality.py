@@ -59,6 +59,24 @@ def test_masked_forms_cluster(spark):
     assert [(r["representative"], r["n_docs"]) for r in got] == [("byinvestorrelations", 5)]
 
 
+def bands_of(lines):
+    m = minima([x.replace(" ", "").encode() for x in lines], fu.WIDTH, fu._SEEDS)
+    return [{(j, *row[j * fu.ROWS : (j + 1) * fu.ROWS].tolist()) for j in range(fu.BANDS)} for row in m]
+
+
+@pytest.mark.parametrize("heads", [1, 32])
+def test_a_rarer_line_is_not_lost_to_an_unlike_commoner_one_in_one_of_its_buckets(spark, monkeypatch, heads):
+    monkeypatch.setattr(fu, "HEADS", heads, raising=False)
+    common = "notice to all readers of this filing seen on our pages"
+    words = "kappa lambda sigma omega theta delta gamma zeta".split()
+    rare = [f"notice to all readers of this filing {a} {b}" for a in words for b in words]
+    bands = bands_of([common, *rare])
+    line = next(x for x, b in zip(rare, bands[1:], strict=True) if len(b & bands[0]) == 1)
+    chunks = [(f"a{i}", f"d{i}", common) for i in range(8)] + [(f"b{i}", f"d{i}", line + " x" * (i == 4)) for i in range(5)]
+    got = {r["representative"]: (r["n_docs"], r["n_forms"]) for r in fu.line_clusters(*tables(spark, chunks, [(f"d{i}", "t") for i in range(8)])).collect()}
+    assert got == {common.replace(" ", ""): (8, 1), line.replace(" ", ""): (5, 2)}
+
+
 def test_minima_agree_with_one_by_one_and_estimate_similarity():
     seeds = np.random.default_rng(1).integers(1, 2**63, 400, dtype=np.uint64)
     a, b = b"the quick brown fox jumps over the lazy dog again", b"the quick brown fox jumps over the lazy cat again"
