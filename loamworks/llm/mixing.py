@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from loamworks.operators.lineage import cut, spread
+from loamworks.operators.lineage import cut, small_or_shuffled, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public tokenizer splits a text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Groups of sources of several sources routed one by one, the largest first (texts of further ones count for one of their sources); hash buckets of a group.
+#: Ways of groups of sources that are broadcast, beyond that their join shuffles; hash buckets of a group.
 MAX_GROUPS, BUCKETS = 1_000, 1024
 
 
@@ -101,23 +101,31 @@ def routes(groups: dict[tuple[str, ...], float], quotas: dict[str, float], repea
                 ways[g, s] = net.add(1 + k, node[s], groups[g] * repeats[s])
     for s in names:
         net.add(node[s], end, quotas[s])
-    met = 0.0
-    for use in range(max((sum(repeats.get(s, 0) for s in g) for g in keys), default=0)):
+    uses = [sum(repeats.get(s, 0) for s in g) for g in keys]
+    supply = [net.add(0, 1 + k, 0.0)[2] for k in range(len(keys))]
+    met, asked = 0.0, sum(quotas.values())
+    for use in range(max(uses, default=0)):
+        if asked - met <= 1e-6:
+            break
         for k, g in enumerate(keys):
-            if sum(repeats.get(s, 0) for s in g) > use:
-                net.add(0, 1 + k, groups[g])
+            if uses[k] > use:
+                supply[k][1] += groups[g]
         met += net.run(0, end)
     return {w: back[1] for w, back in ways.items() if back[1] > 1e-6}, met
 
 
-def largest_total(groups: dict[tuple[str, ...], float], shares: dict[str, float], repeats: dict[str, int], steps: int = 24) -> float:
-    """The largest total at which every source of ``shares`` can meet its share, by bisection over the flow."""
-    low, high = 0.0, sum(v * sum(repeats.get(s, 0) for s in g) for g, v in groups.items())
-    for _ in range(steps):
-        total = (low + high) / 2
-        ok = routes(groups, {s: x * total for s, x in shares.items()}, repeats)[1] >= total * (1 - 1e-6)
-        low, high = (total, high) if ok else (low, total)
-    return low
+def largest_total(groups: dict[tuple[str, ...], float], shares: dict[str, float], repeats: dict[str, int]) -> float:
+    """The largest total at which every source of ``shares`` can meet its share.
+
+    A group can be used as often as all its sources together may, so what one source takes is not missing to another
+    and each source has its own limit: its tokens times its repeats.
+    """
+    room = dict.fromkeys(shares, 0.0)
+    for g, n in groups.items():
+        for s in g:
+            if s in room:
+                room[s] += n * repeats[s]
+    return min((room[s] / x for s, x in shares.items() if x > 0), default=0.0)
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, tokenizer: str = TOKENIZER, max_groups: int = MAX_GROUPS) -> DataFrame:
@@ -126,6 +134,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     ``total_tokens`` is the size of the mixture; by default the largest at which every target source that has documents
     meets its share among those that have. A text that stands under several ids of a source is used under the least of
     them, at most ``max_repeats`` times (1 where null); one that several sources hold counts for the one it is chosen for.
+    Every set of sources that holds a text is routed, on the driver; ``max_groups`` only bounds what is broadcast of them.
     Null and empty texts, documents without a source and sources without a target are not used; a target source
     without documents gets nothing; empty tables give no row.
     """
@@ -136,15 +145,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     held = cut(sized.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")))
     texts = held.groupBy("text_key").agg(F.array_join(F.sort_array(F.collect_set("source")), "\x1f").alias("sources"), F.max("n_tokens").alias("n_tokens"))
     sizes = cut(texts.groupBy("sources").agg(F.sum("n_tokens").alias("n")))
-    several = F.contains("sources", F.lit("\x1f"))
-    listed = sizes.where(several).orderBy(F.desc("n"), "sources").limit(max_groups).collect() + sizes.where(~several).collect()  # at most max_groups, and one row a source
-    groups = {(s,): 0.0 for s in wanted} | {tuple(r["sources"].split("\x1f")): float(r["n"]) for r in listed}
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    rest = float(total) - sum(groups.values())
-    if rest > 0.5:
-        known = spark.createDataFrame([("\x1f".join(g),) for g in groups], "sources string")
-        for r in texts.join(F.broadcast(known), "sources", "left_anti").groupBy(_one_source().alias("source")).agg(F.sum("n_tokens").alias("n")).collect():
-            groups[(r["source"],)] += float(r["n"])
+    groups = {(s,): 0.0 for s in wanted} | {tuple(r["sources"].split("\x1f")): float(r["n"]) for r in sizes.orderBy(F.desc("n"), "sources").toLocalIterator()}  # one row a set of sources that holds a text
     have = {s for g, n in groups.items() if n > 0 for s in g}
     whole = sum(wanted[s][0] for s in have) or 1.0
     shares = {s: wanted[s][0] / whole for s in sorted(have)}
@@ -153,9 +154,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     flows, _ = routes(groups, {s: x * size for s, x in shares.items()}, repeats)
     schema = T.StructType([T.StructField("group", T.StringType()), T.StructField("source", T.StringType()), T.StructField("uses", T.DoubleType()), T.StructField("room", T.IntegerType())])
     plan = spark.createDataFrame([("\x1f".join(g), s, min(f / groups[g], repeats[s]), repeats[s]) for (g, s), f in flows.items() if groups[g] > 0], schema)
-    kept = spark.createDataFrame([("\x1f".join(g), True) for g in groups], "sources string, listed boolean")
-    placed = texts.join(F.broadcast(kept), "sources", "left").select("text_key", F.when(F.col("listed"), F.col("sources")).otherwise(_one_source()).alias("group"))
-    units = held.join(placed, "text_key").join(F.broadcast(plan), ["group", "source"])
+    placed = texts.select("text_key", F.col("sources").alias("group"))
+    units = held.join(placed, "text_key").join(small_or_shuffled(plan, max_groups), ["group", "source"])
     order = F.xxhash64(F.lit(seed), "text_key", "source")
     units = cut(units.select("doc_id", "group", "source", "n_tokens", "uses", "room", order.alias("h"), F.pmod(F.shiftright(order, 20), F.lit(BUCKETS)).alias("bucket")))
     part = ["group", "source"]
@@ -172,12 +172,6 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     return clear.unionByName(edge).select("doc_id", "source", "n_tokens", times.alias("repeats")).where("repeats > 0")
 
 
-def _one_source():
-    """The source that a text of an unlisted group counts for, by a hash of the text."""
-    parts = F.split("sources", "\x1f")
-    return F.element_at(parts, (F.pmod(F.xxhash64("text_key"), F.size(parts)) + 1).cast("int"))
-
-
 def mixture_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: target_share, tokens and share of the mixture, documents and the most repetitions; 0 where nothing was chosen."""
     got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))

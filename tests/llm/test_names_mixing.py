@@ -121,3 +121,14 @@ def test_flow_prefers_first_uses_and_matches_brute_force():
     assert met == pytest.approx(22) and flows[("a", "b"), "b"] == pytest.approx(10) and flows[("a",), "a"] == pytest.approx(10)
     assert mi.routes(groups, {"a": 45.0, "b": 5.0}, {"a": 2, "b": 1})[1] == pytest.approx(45)
     assert mi.largest_total(groups, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}) == pytest.approx(24, rel=1e-3)
+
+
+def test_texts_of_every_set_of_sources_flow_to_the_source_that_needs_them(spark):
+    texts = [(f"shared text number {i} of several sources", "abcd"[:k]) for i, k in enumerate([2, 3, 4] * 20)]
+    docs = [(100 * i + j, t, s) for i, (t, held) in enumerate(texts) for j, s in enumerate(held)]
+    targets = [("a", 0.25, 1), ("b", 0.25, 1), ("c", 0.25, 1), ("d", 0.25, 1)]
+    whole = mixed(spark, docs, targets)
+    assert sum(r["tokens"] for r in whole[1]) == pytest.approx(4 * sum(r["tokens"] for r in whole[1] if r["source"] == "d"), rel=0.05)
+    assert {r["doc_id"] for r in whole[0] if r["source"] == "d"} == {d for d, _, s in docs if s == "d"}
+    key = lambda rows: sorted((r["doc_id"], r["repeats"]) for r in rows)
+    assert key(mixed(spark, docs, targets, max_groups=1)[0]) == key(whole[0])
