@@ -151,17 +151,26 @@ def distance(a: str, b: str, most: int) -> int:
 
 #: Points: of a pair's parts, of the bits by which a shared form is rarer than chance; a link needs STRONG in all.
 SAME, NICKNAME, TYPO, INITIAL, STRONG = 6.0, 5.0, 3.5, 2.0, 8.0
+#: A spelling counts as a typing error of one that stands so many times as often, or of one that stands MIDDLE_RATIO times as often if a middle initial agrees too.
+RATIO, MIDDLE_RATIO = 4.0, 2.0
 
 
-def agreement(a: tuple, b: tuple, lone: bool, odd: bool = True) -> tuple[str, float]:
+def times_rarer(m: int, n: int) -> float:
+    """How many times as often the commoner of two spellings stands; one that stands once may be an error of any."""
+    return float("inf") if min(m, n) == 1 else max(m, n) / min(m, n)
+
+
+def agreement(a: tuple, b: tuple, lone: bool, ratio: float = float("inf")) -> tuple[str, float]:
     """How two parsed names agree: "full", "initial" or "" with points.
 
-    ``lone``: one of the names stands only once; ``odd``: so does one of the spellings of the family name, as typing errors do.
+    ``lone``: one of the names is far rarer than the other; ``ratio``: how many times as often the commoner spelling of
+    the family name stands. Spellings that differ must be unlike in frequency, as typing errors and right spellings are.
     """
     kind, fa, ga, ma, na = a
     _, fb, gb, mb, nb = b
     gap = distance(fa, fb, 2)
-    if na != nb or gap > 2 or gap and not odd:
+    middle = kind == "person" and bool(ma) and ma == mb and min(len(ga), len(gb)) > 1
+    if na != nb or gap > 2 or gap and ratio < (MIDDLE_RATIO if middle else RATIO):
         return "", 0.0
     if kind == "org":
         if ma and mb and ma != mb or gap > (2 if lone and min(len(fa), len(fb)) >= 10 else 1):
@@ -240,7 +249,7 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
         for b in batches:
             rows = []
             for x, y, p, q, bits in zip(b["a"], b["b"], b["pa"], b["pb"], b["rarity"], strict=True):
-                how, points = agreement(tuple(p[x] for x in parts), tuple(q[x] for x in parts), min(p["n"], q["n"]) == 1, min(p["of_family"], q["of_family"]) == 1)
+                how, points = agreement(tuple(p[x] for x in parts), tuple(q[x] for x in parts), times_rarer(p["n"], q["n"]) >= RATIO, times_rarer(p["of_family"], q["of_family"]))
                 if how:
                     rows.append((x, y, how, points, points + min(bits, 6.0)))
             yield pd.DataFrame(rows, columns=["a", "b", "how", "points", "score"])

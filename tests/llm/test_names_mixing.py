@@ -62,6 +62,13 @@ def test_a_hot_family_of_many_persons(spark):
     assert len(links(spark, rows)) == 1
 
 
+def test_a_misspelling_that_recurs_links_by_how_rare_it_is(spark):
+    stands = {"Stephen Doklicea": 24, "Stephen Dokliceea": 3, "Naomi R. Cekeasem": 9, "Naomi R. Cekaesem": 4, "Ruth Fetreawi": 5, "Ruth Fetreawy": 4}
+    rows = [(f"{n}-{k}", n) for n, times in stands.items() for k in range(times)]
+    got = {tuple(sorted(x.rsplit("-", 1)[0] for x in pair)) for pair in links(spark, rows)}
+    assert got == {("Stephen Doklicea", "Stephen Dokliceea"), ("Naomi R. Cekaesem", "Naomi R. Cekeasem")}
+
+
 def test_distance_is_restricted_damerau():
     assert [na.distance(a, b, 2) for a, b in [("abc", "abc"), ("abc", "acb"), ("abc", "abd"), ("abc", "abcd"), ("abcdef", "ghijkl"), ("", "ab")]] == [0, 1, 1, 1, 3, 2]
 
