@@ -61,6 +61,15 @@ def test_known_whole_values_are_kept_together(spark):
     assert [r["n_items"] for r in got if r["row_id"] == "10"] == [1]
 
 
+@pytest.mark.parametrize("most", [1, 50_000])
+def test_known_whole_values_beyond_the_broadcast_are_kept_together_too(spark, most):
+    rows = [(str(i), '["Health, Safety", "Risk"]') for i in range(3)] + [(f"b{i}", '["Pay, People", "Risk"]') for i in range(2)]
+    rows += [("9", "Audit, pay, people , Health, Safety"), (None, "Pay, People, Risk"), ("x", None)]
+    got = unpack({"t": spark.createDataFrame(rows, "id string, f string")}, [PackedField("t", "f")], max_entries=most).collect()
+    items = {k: [r["item"] for r in sorted((r for r in got if r["row_id"] == k), key=lambda r: r["pos"])] for k in ("9", None)}
+    assert items == {"9": ["Audit", "pay, people", "Health, Safety"], None: ["Pay, People", "Risk"]}
+
+
 def test_nulls_repeats_empty_and_long(spark):
     long = ", ".join(f"v{i}" for i in range(20_000))
     rows = [("1", "a;a", None), ("1", "a;a", None), ("2", None, None), ("3", "", None), ("4", long, None), (None, "a;b", None)]
