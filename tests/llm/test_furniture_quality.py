@@ -59,6 +59,27 @@ def test_masked_forms_cluster(spark):
     assert [(r["representative"], r["n_docs"]) for r in got] == [("byinvestorrelations", 5)]
 
 
+@pytest.mark.parametrize(
+    ("one", "other"),
+    [("By John Smith, Staff Writer", "By JohnSmith, Staff Writer"), ("Forms may vary", "Formsmay vary"), ("M A Y", "May"), ("Zoë Q. Ábel, March 3", "ZoëQ Ábel Mar ch 4")],
+)
+def test_equal_letters_count_together_whatever_their_spacing(spark, one, other):
+    chunks = [(f"c{i}", f"d{i}", f"Text {'abcdef'[i]} alone.\n{one if i < 3 else other}") for i in range(6)]
+    got = {(r["chunk_id"], r["line_no"]) for r in fu.repeated_lines(*tables(spark, chunks, [(f"d{i}", "t") for i in range(6)])).collect()}
+    assert got == {(f"c{i}", 2) for i in range(6)}
+
+
+def test_near_duplicate_lines_come_out_of_the_text(spark):
+    names = ["Mary", "Robert", "Linda", "David", "Susan"]
+    chunks = [(f"c{i}", f"d{i}", f"Own words {'pqrst'[i] * 9} here.\nBy {n} Xylo{'abcde'[i]}, Investor Relations, March {i + 1}, 2024") for i, n in enumerate(names)]
+    c, d = tables(spark, chunks + chunks[:1] + [("n", "d0", None)], [(f"d{i}", "t") for i in range(5)])
+    assert fu.repeated_lines(c, d).count() == 0
+    near = fu.near_duplicate_lines(c, d)
+    assert {tuple(r) for r in near.collect()} == {(f"c{i}", 2) for i in range(5)}
+    assert fu.near_duplicate_lines(c, d, min_docs=6).count() == 0 and fu.near_duplicate_lines(*tables(spark, [], [])).count() == 0
+    assert {r["chunk_id"]: r["n_removed"] for r in fu.without_lines(c, near).collect()} == {**{f"c{i}": 1 for i in range(5)}, "n": 0}
+
+
 def bands_of(lines):
     m = minima([x.replace(" ", "").encode() for x in lines], fu.WIDTH, fu._SEEDS)
     return [{(j, *row[j * fu.ROWS : (j + 1) * fu.ROWS].tolist()) for j in range(fu.BANDS)} for row in m]
