@@ -129,6 +129,32 @@ def rewritings(kind: str, family: str, given: str, middle: str) -> list[str]:
     return sorted(forms)
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out; words within as many edits of each other share one."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def finer(tag: str, family: str, given: str) -> list[tuple[str, int]]:
+    """(key, side) that split a form shared by very many names; names that agree share a key on sides that meet.
+
+    Sides: 0 an initial, which meets all; 1 a name that meets initials only; 2 an exact form, 3 a form with letters left out
+    of a known given name, which meets no other of that kind, 4 the same of another name. Names that agree with a name
+    whose given name differs by typing errors are not both known.
+    """
+    if tag != "p":
+        return [(f"f{x}", 4) for x in sorted(shortened(family, 2))]
+    if len(given) <= 1:
+        return [("", 0)]
+    forms = given_forms(given)
+    loose = {y for x in forms for y in shortened(x, 2 if len(x) >= 5 else 1)} - forms
+    side = 3 if given in _KNOWN else 4
+    return [("", 1), *((f"g{x}", 2) for x in sorted(forms)), *((f"g{x}", side) for x in sorted(loose))]
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edits, neighbouring swaps counted as one, between two words; more than ``most`` comes out as ``most`` + 1."""
     if a == b:
@@ -151,29 +177,24 @@ def distance(a: str, b: str, most: int) -> int:
 
 #: Points: of a pair's parts, of the bits by which a shared form is rarer than chance; a link needs STRONG in all.
 SAME, NICKNAME, TYPO, INITIAL, STRONG = 6.0, 5.0, 3.5, 2.0, 8.0
-#: A spelling counts as a typing error of one that stands so many times as often, or of one that stands MIDDLE_RATIO times as often if a middle initial agrees too.
-RATIO, MIDDLE_RATIO = 4.0, 2.0
+#: Letters of the family name from which two typing errors in it are believed, of persons and of organisations.
+LONG_FAMILY, LONG_CORE = 8, 10
+#: Names that share a form, up to which they are compared as they are.
+CROWD = 100
 
 
-def times_rarer(m: int, n: int) -> float:
-    """How many times as often the commoner of two spellings stands; one that stands once may be an error of any."""
-    return float("inf") if min(m, n) == 1 else max(m, n) / min(m, n)
-
-
-def agreement(a: tuple, b: tuple, lone: bool, ratio: float = float("inf")) -> tuple[str, float]:
+def agreement(a: tuple, b: tuple) -> tuple[str, float]:
     """How two parsed names agree: "full", "initial" or "" with points.
 
-    ``lone``: one of the names is far rarer than the other; ``ratio``: how many times as often the commoner spelling of
-    the family name stands. Spellings that differ must be unlike in frequency, as typing errors and right spellings are.
+    Only the two names count, not how often they stand, so that a pair is judged alike in a table of any size.
     """
     kind, fa, ga, ma, na = a
     _, fb, gb, mb, nb = b
     gap = distance(fa, fb, 2)
-    middle = kind == "person" and bool(ma) and ma == mb and min(len(ga), len(gb)) > 1
-    if na != nb or gap > 2 or gap and ratio < (MIDDLE_RATIO if middle else RATIO):
+    if na != nb or gap > 2:
         return "", 0.0
     if kind == "org":
-        if ma and mb and ma != mb or gap > (2 if lone and min(len(fa), len(fb)) >= 10 else 1):
+        if ma and mb and ma != mb or gap > (2 if min(len(fa), len(fb)) >= LONG_CORE else 1):
             return "", 0.0
         return "full", SAME + 2.0 - 1.5 * gap
     if ma and mb and ma != mb or not ga or not gb:
@@ -194,30 +215,51 @@ def agreement(a: tuple, b: tuple, lone: bool, ratio: float = float("inf")) -> tu
         if not near or gap > 1:
             return "", 0.0
         points = TYPO
-    if gap == 2 and not (points == SAME and lone and min(len(fa), len(fb)) >= 8):
+    if gap == 2 and not (points == SAME and min(len(fa), len(fb)) >= LONG_FAMILY):
         return "", 0.0
     return "full", points + 2.0 + 1.0 * bool(ma and mb) - 1.5 * gap
 
 
-def _propagated(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, entity): the least node of each connected component, by passing labels on until none changes."""
-    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("entity")))
-    for _ in range(rounds):
-        least = both.join(labels.select(F.col("node").alias("next"), "entity"), "next").groupBy("node").agg(F.min("entity").alias("near"))
-        moved = cut(labels.join(least, "node", "left").select("node", F.least("entity", F.coalesce("near", "entity")).alias("entity"), (F.col("near") < F.col("entity")).alias("moved")))
-        labels = moved.select("node", "entity")
-        if moved.where("moved").isEmpty():
-            break
-    return labels
+def _signature(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, entity) of every node of ``edges`` (a, b): the least node of its connected component.
 
-def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
+    Large-star and small-star rounds tie every node to the least of its neighbours until no edge moves; their number
+    grows with the logarithm of the longest chain. A node's neighbours are never gathered: their least is aggregated, and
+    joined back to the edges, one row a node.
+    """
+    least = lambda e: e.groupBy("a").agg(F.min("b").alias("m"))
+    stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = _signature(stars)
+    while True:
+        both = stars.union(stars.select("b", "a"))
+        m = least(both).select("a", F.least("a", "m").alias("m"))
+        large = cut(both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        m = least(large)
+        small = large.join(m, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = cut(small.union(m.select("a", F.col("m").alias("b"))).distinct())
+        after = _signature(stars)
+        if after == before:
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("entity")).union(stars.select("b", "b").distinct())
+        before = after
+
+
+def _entity_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, entity) of all nodes; a node without an edge is an entity of its own."""
+    return cut(nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("entity", "node").alias("entity")))
+
+
+def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name", crowd: int = CROWD) -> DataFrame:
     """(member_id, name, entity) of every seat whose name can be read; seats of one entity are the same person or organisation.
 
     Rows that stand twice come once; null and blank names and names without letters have no entity. Names that differ
     only in case, accents, titles, credentials, order or spacing are one spelling; a name with initials only joins an
-    entity if no other entity of that family fits it, and is left alone otherwise.
+    entity if no other entity of that family fits it, and is left alone otherwise. A form that more than ``crowd`` names
+    share is split by ``finer``, which loses no pair that agrees, so that a name meets as many others as agree with it
+    and not all that have its family and initial.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,21 +268,32 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
             yield pd.DataFrame(rows, columns=["name", "kind", "family", "given", "middle", "generation", "node"])
 
     seat = seats.select(F.col(id_col).cast("string").alias("member_id"), F.col(name_col).alias("name")).where("name is not null and member_id is not null").dropDuplicates(["member_id"])
-    counts = seat.groupBy("name").agg(F.count("*").alias("n"))
-    read = cut(counts.select("name").mapInPandas(parse, "name string, kind string, family string, given string, middle string, generation string, node string").join(counts, "name"))
-    nodes = read.groupBy("node", "kind", "family", "given", "middle", "generation").agg(F.sum("n").alias("n"))
-    nodes = cut(nodes.join(nodes.groupBy("kind", "family").agg(F.sum("n").alias("of_family")), ["kind", "family"]))
+    read = cut(seat.select("name").distinct().mapInPandas(parse, "name string, kind string, family string, given string, middle string, generation string, node string"))
+    nodes = cut(read.select("node", "kind", "family", "given", "middle", "generation").distinct())
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(n, f) for n, k, fa, g, m in zip(b["node"], b["kind"], b["family"], b["given"], b["middle"], strict=True) for f in rewritings(k, fa, g, m)]
             yield pd.DataFrame(rows, columns=["node", "form"])
 
-    forms = nodes.select("node", "kind", "family", "given", "middle").mapInPandas(rewrite, "node string, form string").select("node", F.xxhash64("form").alias("form"))
+    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(n, fo, df, x, side) for n, fo, t, df, fa, g in zip(b["node"], b["form"], b["tag"], b["df"], b["family"], b["given"], strict=True) for x, side in finer(t, fa, g)]
+            yield pd.DataFrame(rows, columns=["node", "form", "df", "key", "side"])
+
+    forms = nodes.select("node", "kind", "family", "given", "middle").mapInPandas(rewrite, "node string, form string").select("node", F.xxhash64("form").alias("form"), F.substring("form", 1, 1).alias("tag"))
     shared = cut(forms.join(forms.groupBy("form").agg(F.count("*").alias("df")).where("df > 1"), "form"))
-    pairs = shared.alias("x").join(shared.alias("y"), (F.col("x.form") == F.col("y.form")) & (F.col("x.node") < F.col("y.node"))).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("x.df").alias("df"))
+    x, y = shared.where(F.col("df") <= crowd).alias("x"), shared.where(F.col("df") <= crowd).alias("y")
+    pairs = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.df").alias("df"))
+    split = shared.where(F.col("df") > crowd).join(nodes.select("node", "family", "given"), "node")
+    split = cut(split.mapInPandas(refine, "node string, form bigint, df bigint, key string, side int").select("node", "df", "side", F.xxhash64("form", "key").alias("form")))
+    x, y = split.alias("x"), split.alias("y")
+    meet = F.least("x.side", "y.side") == 0
+    meet = meet | (F.col("x.side") == 2) & (F.col("y.side") >= 2) | (F.col("y.side") == 2) & (F.col("x.side") >= 2) | (F.col("x.side") + F.col("y.side") >= 7)
+    finer_pairs = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.node") < F.col("y.node")) & meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.df").alias("df"))
+    pairs = pairs.union(finer_pairs).groupBy("a", "b").agg(F.min("df").alias("df"))
     total = nodes.agg(F.count("*").alias("total"))
-    known = nodes.select("node", F.struct("kind", "family", "given", "middle", "generation", "n", "of_family").alias("p"))
+    known = nodes.select("node", F.struct("kind", "family", "given", "middle", "generation").alias("p"))
     sides = pairs.join(known.withColumnsRenamed({"node": "a", "p": "pa"}), "a").join(known.withColumnsRenamed({"node": "b", "p": "pb"}), "b").join(F.broadcast(total))
     rarity = F.log2(F.lit(2.0) + F.col("total")) - F.log2(F.col("df"))
 
@@ -249,7 +302,7 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
         for b in batches:
             rows = []
             for x, y, p, q, bits in zip(b["a"], b["b"], b["pa"], b["pb"], b["rarity"], strict=True):
-                how, points = agreement(tuple(p[x] for x in parts), tuple(q[x] for x in parts), times_rarer(p["n"], q["n"]) >= RATIO, times_rarer(p["of_family"], q["of_family"]))
+                how, points = agreement(tuple(p[x] for x in parts), tuple(q[x] for x in parts))
                 if how:
                     rows.append((x, y, how, points, points + min(bits, 6.0)))
             yield pd.DataFrame(rows, columns=["a", "b", "how", "points", "score"])
@@ -257,7 +310,7 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
     judged = cut(sides.select("a", "b", "pa", "pb", rarity.alias("rarity")).mapInPandas(judge, "a string, b string, how string, points double, score double"))
     full = judged.where((F.col("how") == "full") & (F.col("score") >= STRONG)).select("a", "b")
     full = _unambiguous(full, nodes)
-    firm = _propagated(nodes.select("node"), full)
+    firm = _entity_of(nodes, full)
     ends = judged.where("how = 'initial'").select("a", "b", "points")
     ends = ends.union(ends.select("b", "a", "points")).toDF("short", "other", "points")
     brief = nodes.where("kind = 'person' and length(given) = 1").select(F.col("node").alias("short"))
@@ -267,7 +320,7 @@ def entities(seats: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
     fits = fits.join(best, ["short", "points"]).groupBy("short").agg(F.collect_set("to").alias("to")).where("size(to) = 1").select(F.col("short").alias("a"), F.col("to")[0].alias("b"))
     bound = ends.join(brief, "short").join(brief.withColumnRenamed("short", "other"), "other").select(F.col("short").alias("a"), F.col("other").alias("b"))
     alone = bound.join(ends.join(long, "other").select(F.col("short").alias("a")).distinct(), "a", "left_anti").join(ends.join(long, "other").select(F.col("short").alias("b")).distinct(), "b", "left_anti").select("a", "b")
-    final = _propagated(nodes.select("node"), full.union(fits).union(alone).union(firm.where("node <> entity").toDF("a", "b")))
+    final = _entity_of(nodes, firm.where("node <> entity").toDF("a", "b").union(fits).union(alone))
     return seat.join(read.select("name", "node"), "name").join(final, "node").select("member_id", "name", "entity")
 
 

@@ -30,6 +30,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_pairs(table(spark, sf_dir, "board_members"))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seat and its entity."""
+    return names.entities(table(spark, sf_dir, "board_members")).select("member_id", "entity")
+
+
 def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per entity, its seats and spellings."""
     seats = names.entities(table(spark, sf_dir, "board_members"))
@@ -108,7 +113,7 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clean_near": p1_clean_near, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clean_near": p1_clean_near, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_members": p2_members, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
     "p1_clean": _LINES + """, g AS (SELECT DISTINCT id, line_no FROM k JOIN h USING (site, k)), a AS (SELECT DISTINCT id, string_split(content, chr(10)) AS lines FROM document_chunks_sec),

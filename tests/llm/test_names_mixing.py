@@ -62,11 +62,30 @@ def test_a_hot_family_of_many_persons(spark):
     assert len(links(spark, rows)) == 1
 
 
-def test_a_misspelling_that_recurs_links_by_how_rare_it_is(spark):
-    stands = {"Stephen Doklicea": 24, "Stephen Dokliceea": 3, "Naomi R. Cekeasem": 9, "Naomi R. Cekaesem": 4, "Ruth Fetreawi": 5, "Ruth Fetreawy": 4}
-    rows = [(f"{n}-{k}", n) for n, times in stands.items() for k in range(times)]
-    got = {tuple(sorted(x.rsplit("-", 1)[0] for x in pair)) for pair in links(spark, rows)}
-    assert got == {("Stephen Doklicea", "Stephen Dokliceea"), ("Naomi R. Cekaesem", "Naomi R. Cekeasem")}
+def test_a_misspelling_links_however_often_it_stands(spark):
+    def linked(times):
+        rows = [(f"{n}-{k}", n) for n in ("Stephen Doklicea", "Stephen Dokliceea", "Ruth Fetreawi", "Ruth Fetreawy", "Anna Petersen", "Anna Peterson", "Ruth Petersen") for k in range(times)]
+        return {tuple(sorted(x.rsplit("-", 1)[0] for x in pair)) for pair in links(spark, rows)}
+
+    assert linked(1) == linked(4) == {("Stephen Doklicea", "Stephen Dokliceea"), ("Ruth Fetreawi", "Ruth Fetreawy"), ("Anna Petersen", "Anna Peterson")}
+
+
+def test_crowded_forms_are_split_without_loss(spark):
+    rng = random.Random(4)
+    given = ["John", "Jon", "Johnny", "Jhon", "J.", "Jonathan", "Jonahtan", "Jane", "Jame", "James", "Jim", "Jeremias", "Jeremais", "J", "Jerry", "Gerald", ""]
+    family = ["Smith", "Smyth", "Smitth", "Smithsonian", "Smithsonina", "Smithsoniann", "Smithsonain"]
+    rows = sorted({f"{rng.choice(given)} {rng.choice(['', 'A.', 'B.'])} {rng.choice(family)}{rng.choice(['', ', Jr.'])}" for _ in range(300)} | {"Smithson Capital Partners LLC", "Smithsn Capital Partners", "Smithson Capitl Partners LLC"})
+    seats = spark.createDataFrame([(f"{i:03}", n, "x", "y", "z") for i, n in enumerate(rows)], SEATS)
+    one, other = ({(r["member_id"], r["entity"]) for r in na.entities(seats, crowd=c).collect()} for c in (1, 10_000))
+    assert one == other and len({e for _, e in one}) < len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_a_long_chain_is_one_component(spark, n):
+    order = random.Random(1).sample(range(1000, 1000 + n), n)
+    edges = [(str(order[i]), str(order[i + 1])) for i in range(n - 1)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    got = {r["node"]: r["entity"] for r in na.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {**({str(i): "1000" for i in order} if n > 1 else {}), "x": "x", "y": "x"}
 
 
 def test_distance_is_restricted_damerau():
