@@ -17,27 +17,33 @@ from pyspark.sql.window import Window
 
 from loamworks.operators.lineage import cut, small_or_shuffled, spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public tokenizer splits a text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ways of groups of sources that are broadcast, beyond that their join shuffles; hash buckets of a group.
 MAX_GROUPS, BUCKETS = 1_000, 1024
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, text_key, n_tokens) of each document with a text, once; ``tokenizer`` is a file of ranks."""
+def token_counts(documents: DataFrame, tokenizer: str, sources: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, text_key, n_tokens) of each document with a text, once, where asked for only those of ``sources`` (source).
+
+    ``tokenizer`` is a file of ranks that the driver can read; its tables, which no data makes longer, are broadcast.
+    """
+    with open(tokenizer, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            yield b.drop(columns="text").assign(n_tokens=[len(coder.encode_ordinary(t)) for t in b["text"]])
+            sizes = {t: len(coder.encode_ordinary(t)) for t in b["text"].unique()}
+            yield b.drop(columns="text").assign(n_tokens=[sizes[t] for t in b["text"]])
 
-    rows = documents.where("text is not null and text <> ''").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 32).alias("text_key"), "text")
-    return spread(rows).mapInPandas(count, "doc_id bigint, source string, text_key string, n_tokens bigint").dropDuplicates(["doc_id"])
+    rows = documents.where("text is not null and text <> ''").select("doc_id", "source", "text")
+    rows = rows if sources is None else rows.join(F.broadcast(sources), "source", "left_semi")  # one row a target source
+    rows = spread(rows).select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 32).alias("text_key"), "text")
+    return rows.mapInPandas(count, "doc_id bigint, source string, text_key string, n_tokens bigint").dropDuplicates(["doc_id"])
 
 
 class _Flow:
@@ -128,7 +134,7 @@ def largest_total(groups: dict[tuple[str, ...], float], shares: dict[str, float]
     return min((room[s] / x for s, x in shares.items() if x > 0), default=0.0)
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, tokenizer: str = TOKENIZER, max_groups: int = MAX_GROUPS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: float | None = None, seed: int = 0, max_groups: int = MAX_GROUPS) -> DataFrame:
     """(doc_id, source, n_tokens, repeats) of the chosen documents.
 
     ``total_tokens`` is the size of the mixture; by default the largest at which every target source that has documents
@@ -141,7 +147,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     spark = documents.sparkSession
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"] or 1)) for r in targets.where("source is not null and target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()}  # one row a source
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
-    sized = token_counts(documents, tokenizer).join(F.broadcast(names), "source")
+    sized = token_counts(documents, tokenizer, names)
     held = cut(sized.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")))
     texts = held.groupBy("text_key").agg(F.array_join(F.sort_array(F.collect_set("source")), "\x1f").alias("sources"), F.max("n_tokens").alias("n_tokens"))
     sizes = cut(texts.groupBy("sources").agg(F.sum("n_tokens").alias("n")))

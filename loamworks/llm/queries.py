@@ -82,13 +82,18 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def tokenizer(spark: SparkSession) -> str:
+    """The file of the public tokenizer: spark.loamworks.tokenizer of the session, else where this project's machines keep it."""
+    return spark.conf.get("spark.loamworks.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), tokenizer(spark))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "source_targets")
-    return mixing.mixture_shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+    return mixing.mixture_shares(mixing.mixture(table(spark, sf_dir, "documents"), targets, tokenizer(spark)), targets)
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -48,6 +49,21 @@ def test_against_brute_force(spark):
     assert found(spark, docs, items, min_words=6) == brute(docs, items, 6)
 
 
+def test_accents_however_they_are_encoded(spark):
+    item = "Où naît l’été, l’âme du café rêve à côté des forêts où naît encore l’hiver"
+    loose = unicodedata.normalize("NFD", item)
+    docs = [(1, "avant: " + loose + " après"), (2, item.upper()), (3, "한국어 " + loose.replace("\u0301", ""))]
+    assert found(spark, docs, [(7, item)]) == {(1, 7), (2, 7)} == found(spark, docs, [(7, loose)])
+    for text in (loose, unicodedata.normalize("NFD", "한국어 문장 " + item), item, "", "\u0301a \u0301"):
+        spans = le.word_spans(text)
+        assert [unicodedata.normalize("NFC", text[a:b]).casefold() for a, b in spans] == le.normal_words(text)
+
+
+def test_one_word_over_and_over_takes_no_quadratic_time(spark):
+    item = " ".join(["echo"] * 40)
+    assert found(spark, [(1, "echo " * 60_000), (2, "echo " * 12)], [(1, item), (2, "echo " * 13)]) == {(1, 1), (1, 2)}
+
+
 def test_nulls_empty_and_long(spark):
     item = " ".join(f"a{i}" for i in range(30))
     docs = [(1, None), (2, ""), (3, "x " * 500_000 + item), (4, item), (4, item), (None, item)]

@@ -5,6 +5,7 @@ import pytest
 
 from loamworks.llm import mixing as mi
 from loamworks.llm import names as na
+from loamworks.llm.queries import tokenizer
 
 SEATS = "id string, name string, node string, entity string, bio string"
 
@@ -99,7 +100,7 @@ TARGETS = "source string, target_share decimal(6,4), max_repeats int, tokens big
 def mixed(spark, docs, targets, **how):
     d = spark.createDataFrame([(i, t, s, 0, 0) for i, t, s in docs], DOCS)
     t = spark.sql("select 1").sparkSession.createDataFrame([(s, float(x), r) for s, x, r in targets], "source string, target_share double, max_repeats int")
-    mix = mi.mixture(d, t, **how)
+    mix = mi.mixture(d, t, tokenizer(spark), **how)
     return [r.asDict() for r in mix.collect()], [r.asDict() for r in mi.mixture_shares(mix, t).collect()]
 
 
