@@ -119,7 +119,7 @@ def test_held_out_accuracy_and_unseen_words(spark, model):
     new = {"en": "Our results were better than those of the others.", "de": "Unsere Ergebnisse waren besser als die der anderen.", "fr": "Nos résultats ont été meilleurs que ceux des autres.", "es": "Nuestros resultados fueron mejores que los de otros.", "pt": "Os nossos resultados foram melhores do que os dos outros.", "nl": "Onze resultaten waren beter dan die van de anderen."}
     got = {lang: model.languages[int(np.argmax(model.scores([s[0][2]])[0]))] for lang, t in new.items() if (s := la.sentences(t))}
     assert sum(a == b for a, b in got.items()) >= 5
-    assert model.languages[int(np.argmax(model.unseen("überprüfungen")))] == "de"
+    assert model.languages[int(np.argmax(model.unseen(["überprüfungen"])))] == "de"
 
 
 def test_passages_cover_whole_texts(spark, model):
@@ -133,3 +133,25 @@ def test_label_codes(spark):
     rows = spark.createDataFrame([("pt_BR",), ("français",), ("it",), ("xx",), (None,), ("'de'",)], "x string").select(la.label_code("x").alias("x"))
     assert [r["x"] for r in rows.collect()] == ["pt", "fr", "it", None, None, "de"]
     assert rows.where(F.col("x").isNull()).count() == 2
+
+
+def test_backoff_agrees_with_one_by_one():
+    grams = {g: k for k, g in enumerate(["_a", "ab", "b_", "abc", "c", "_abcd", "é", "éab"])}
+    model = la.Model(("x", "y"), {}, np.zeros((0, 2)), grams, np.arange(16.0).reshape(8, 2))
+
+    def slow(word):
+        padded, got = f"_{word}_", []
+        for i in range(len(padded) - 1):
+            fits = [padded[i : i + n] for n in range(la.LONGEST, 0, -1) if len(padded[i : i + n]) == n and padded[i : i + n] in grams]
+            got += [model.gram_scores[grams[fits[0]]]] if fits else []
+        return np.mean(got, axis=0) * 0.5 if got else np.zeros(2)
+
+    words = ["abcd", "abc", "é", "zzz", "éabé", "c" * 5000, "abzab", "_"]
+    assert np.allclose(model.unseen(words), [slow(w) for w in words]) and model.unseen([]).shape == (0, 2)
+
+
+def test_languages_are_those_that_the_labels_name_often(spark):
+    labels = ["it"] * 90 + ["en-US"] * 60 + ["sv"] * 50 + ["xx"] * 30 + [None] * 20 + ["tlh"] * 9
+    docs = spark.createDataFrame([(i, "t", x, 0, None) for i, x in enumerate(labels)] + [(999, "t", "fi", 0, None)], DOCS)
+    assert la.languages_of(docs, 0.01) == {"en": 60, "it": 90, "sv": 50}
+    assert la.languages_of(docs.where("false")) == {} and la.language_passages(docs, la.fit(docs.where("false"))).count() == 0
