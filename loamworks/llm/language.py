@@ -247,6 +247,8 @@ def fit(documents: DataFrame, languages: Sequence[str] | None = None, max_sample
     known = languages_of(documents)
     codes = tuple(languages or known)
     width = len(codes)
+    if not width:
+        return Model((), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     share = min(1.0, max_sample / max(1, sum(known.get(c, 0) for c in codes)))
     labelled = documents.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = spread(labelled.select("text", label_code("lang").alias("lang")).where(F.col("lang").isin(*codes))).persist()
@@ -272,7 +274,7 @@ def fit(documents: DataFrame, languages: Sequence[str] | None = None, max_sample
     schema = ", ".join(f"n{j} bigint" for j in range(width)) + ", word string"
     model = Model.of_counts({}, codes)
     try:
-        for r in range(rounds + 1) if codes else ():
+        for r in range(rounds + 1):
             shared = documents.sparkSession.sparkContext.broadcast(model.parts) if r else None
             counts, total = _counted(sample.mapInPandas(lambda it, shared=shared: count(it, shared), schema), width)
             model = Model.of_counts(counts, codes, backoff=r == rounds, total=total)

@@ -45,8 +45,7 @@ FREE_TEXT = ("pros", "cons", "advice_to_management")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = table(spark, sf_dir, "glassdoor_reviews")
-    return pii.found_types(reviews, pii.fit(reviews, FREE_TEXT), FREE_TEXT)
+    return pii.learn_and_find(table(spark, sf_dir, "glassdoor_reviews"), FREE_TEXT)
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
