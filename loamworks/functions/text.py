@@ -28,9 +28,9 @@ def hit_count(low: Column, words: Sequence[str]) -> Column:
 
 
 def whole_word_hits(c: Column, words: Sequence[str]) -> Column:
-    """The words that stand in the text between characters other than ASCII letters, digits and underscores."""
+    """The words that stand in the text between characters other than ASCII letters, digits and underscores; words are no patterns."""
     low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(low.rlike(rf"(^|[^a-z0-9_]){w}([^a-z0-9_]|$)"), F.lit(w)) for w in words]))
+    return F.array_compact(F.array(*[F.when(low.rlike(rf"(^|[^a-z0-9_])\Q{w.lower()}\E([^a-z0-9_]|$)"), F.lit(w)) for w in words]))
 
 
 def domain(c: Column) -> Column:
@@ -57,3 +57,22 @@ def filing_form(c: Column) -> Column:
 def garbage(c: Column) -> Column:
     """Whether a text is too short or holds too few letters to be of use."""
     return F.coalesce((F.length(c) < 50) | (F.length(F.regexp_replace(c, r"[^\p{L}]", "")) < 0.4 * F.length(c)), F.lit(True))
+
+
+def form_like(c: Column, headings: Sequence[str], start: int = 200) -> Column:
+    """Whether a text is too short, holds too few letters, or starts with a heading of a form."""
+    low = F.lower(F.substring(c, 1, start))
+    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    return F.coalesce((F.length(F.trim(c)) < 50) | (letters < 0.4 * F.length(c)) | (hit_count(low, headings) > 0), F.lit(True))
+
+
+def squished(c: Column) -> Column:
+    """The ASCII letters and digits of a name, in lower case."""
+    return F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
+
+
+def committees(c: Column, patterns: Sequence[str]) -> Column:
+    """The names that fit the patterns in a text, in title case, once each in the order of the patterns."""
+    low = F.lower(c)
+    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in patterns]))
+    return F.array_distinct(F.transform(found, lambda x: F.initcap(F.regexp_replace(x, r"\s+", " "))))

@@ -4,9 +4,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamworks.functions.numeric import clamp, noisy_or
-from loamworks.functions.text import whole_word_hits
+from loamworks.functions.text import hit_count, whole_word_hits
+from loamworks.operators.signals import broad_score
 
 
 def to_dimensions(evidence: DataFrame, weights: DataFrame, keys: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
@@ -37,10 +39,57 @@ def rubric_level(text: Column, rubric: Mapping[int, Sequence[str]], least: Mappi
     return level.cast("bigint"), found.cast("bigint")
 
 
-def rubric_confidence(found: Column, length: Column) -> Column:
-    """Confidence of a level from the keywords found and the length of the text."""
-    base = F.when(found >= 5, 0.90).when(found >= 3, 0.75).when(found >= 1, 0.65).otherwise(0.50)
-    return clamp(base * F.when(length > 10_000, 1.1).when(length < 1_000, 0.9).otherwise(1.0), 0.3, 1.0)
+def rubric_confidence(found: Column, length: Column, measured: Column | bool = False) -> Column:
+    """Confidence of a level from the keywords found, the length of the text, and whether a metric was given."""
+    base = F.when(found >= 5, 0.90).when(found >= 3, 0.75).when(found >= 2, 0.65).otherwise(0.50)
+    metric = F.when(measured if isinstance(measured, Column) else F.lit(measured), 1.1).otherwise(1.0)
+    return clamp(base * F.when(length > 10_000, 1.1).when(length < 1_000, 0.9).otherwise(1.0) * metric, 0.3, 1.0)
+
+
+#: Lowest and highest score of each level of a rubric.
+BANDS = {5: (80, 100), 4: (60, 79), 3: (40, 59), 2: (20, 39), 1: (0, 19)}
+
+
+def rubric_score(text: Column, rubric: Mapping[int, Sequence[str]], least: Mapping[int, int], metric: Column | None = None, thresholds: Mapping[int, float] | None = None) -> Column:
+    """struct(level, score, found, confidence) of a text by a rubric of keywords by level.
+
+    The highest level counts whose keywords stand in the text often enough and, where ``metric`` is not null, whose
+    threshold it reaches; the score lies within the level's band by the keywords beyond the least number, with 5 points
+    for a metric of 1.5 times the threshold. If no level fits, a text of many broad terms has their score at level 3 with
+    confidence 0.5, and any other 15 at level 1 with 0.3. A null text counts as empty.
+    """
+    text = F.coalesce(text, F.lit(""))
+    measured = metric.isNotNull() if metric is not None else F.lit(False)
+    result = lambda level, score, found, confidence: F.struct(F.lit(level).cast("bigint").alias("level"), score.cast("double").alias("score"), found.cast("bigint").alias("found"), confidence.cast("double").alias("confidence"))
+    broad = broad_score(F.lower(text))
+    out = F.when(broad >= 40, result(3, broad, F.lit(0), F.lit(0.5))).otherwise(result(1, F.lit(15.0), F.lit(0), F.lit(0.3)))
+    for n in sorted(rubric):
+        low, high = BANDS[n]
+        k, spare = F.size(whole_word_hits(text, rubric[n])), len(rubric[n]) - least[n]
+        share = (k - least[n]) / F.lit(spare) if spare > 0 else F.lit(0.5)
+        floor = (thresholds or {}).get(n, 0.0)
+        bonus = F.when(measured & (metric > 1.5 * floor), 5.0).otherwise(0.0) if metric is not None else F.lit(0.0)
+        fits = (k >= least[n]) & (F.coalesce(metric >= floor, F.lit(True)) if metric is not None else F.lit(True))
+        out = F.when(fits, result(n, clamp(low + (high - low) * share + bonus, low, high), k, rubric_confidence(k, F.length(text), measured))).otherwise(out)
+    return out
+
+
+def cited(passages: DataFrame, keys: Sequence[str], words: Sequence[str], id_col: str, top: int = 5, prefix: int = 200) -> DataFrame:
+    """(keys, id, n_matched, place): per key, the ``top`` passages (content) that match most of the keywords, ties by id.
+
+    A keyword matches if any of its words stands in the passage; passages that start with the same ``prefix`` characters
+    count once, the one that matches most and then the least id. Only counts and a hash leave the task that read a text.
+    """
+    low = F.lower("content")
+    matched = sum((_any_word(low, w).cast("int") for w in words), F.lit(0))
+    rows = passages.where("content is not null").select(*keys, F.col(id_col), F.xxhash64(F.left("content", F.lit(prefix))).alias("_start"), matched.cast("bigint").alias("n_matched")).where("n_matched > 0")
+    once = rows.groupBy(*keys, "_start").agg(F.min(F.struct((-F.col("n_matched")).alias("m"), F.col(id_col).alias("id"))).alias("best"))
+    w = Window.partitionBy(*keys).orderBy("best.m", "best.id")
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select(*keys, F.col("best.id").alias(id_col), (-F.col("best.m")).alias("n_matched"), F.col("place").cast("bigint").alias("place"))
+
+
+def _any_word(low: Column, keyword: str) -> Column:
+    return hit_count(low, keyword.lower().split()) > 0
 
 
 def merged_members(members: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,12 +102,17 @@ def merged_members(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def concentration(jobs: DataFrame, key: str) -> DataFrame:
-    """Talent concentration of groups of jobs (level): how far they depend on few and senior people."""
-    g = jobs.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("level") == "senior").alias("senior"), F.countDistinct("title").alias("skills"))
+def concentration(jobs: DataFrame, key: str, mentions: str | None = None) -> DataFrame:
+    """Talent concentration of groups of jobs (level, title): how far they depend on few and senior people.
+
+    ``mentions`` names a column of how often each row's review names a single person; without it that part counts nothing.
+    """
+    named = F.sum(mentions) if mentions else F.lit(0)
+    g = jobs.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("level") == "senior").alias("senior"), F.countDistinct("title").alias("skills"), named.alias("_named"))
     lead = F.when(F.col("n") == 0, 0.5).otherwise(F.col("senior") / F.col("n"))
     team = F.least(F.lit(1.0), 1 / (F.sqrt("n") + 0.1))
-    return g.withColumn("concentration", clamp(0.4 * lead + 0.3 * team + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("skills") / 15), 0, 1))
+    persons = F.least(F.lit(1.0), F.col("_named") / F.col("n"))
+    return g.withColumn("concentration", clamp(0.4 * lead + 0.3 * team + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("skills") / 15) + 0.1 * persons, 0, 1)).drop("_named")
 
 
 def justification(passages: DataFrame, keys: Sequence[str], words: Sequence[str], strong: int = 2) -> DataFrame:

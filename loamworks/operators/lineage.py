@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share, and read from there.
 
-    The folder is spark.checkpoint.dir of the session. Only where that is unset, as in tests on one
-    machine, a temporary folder is used.
+    The folder is spark.checkpoint.dir of the session. Where that is unset, a session on one machine, as in tests, uses a
+    temporary folder; on a cluster that is an error, as executors do not share one.
     """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loamworks-checkpoint-"))
     return df.checkpoint(eager=True)
 

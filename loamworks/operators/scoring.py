@@ -26,7 +26,7 @@ def chain(df: DataFrame, places: int | None = 4) -> DataFrame:
     It has a double column for each dimension, talent_concentration, percentile, sector and evidence_count. With
     ``places``, what a stage takes from the one before is rounded half up to so many places; without, nothing is.
     """
-    q = (lambda c: F.round(c, places)) if places is not None else (lambda c: c)
+    q = (lambda c: F.round(F.round(c, 9), places)) if places is not None else (lambda c: c)  # of decimals, not of their binary neighbours
     table = F.create_map(*[x for s, v in L.SECTORS.items() for x in (F.lit(s), F.array(*[F.lit(y) for y in v]))])
     sector = F.coalesce(F.try_element_at(table, F.coalesce("sector", F.lit(""))), F.array(*[F.lit(y) for y in L.SECTOR_DEFAULT]))
     dims = [(clamp(q(F.col(d)), 0, 100), w) for d, w in L.DIMENSIONS.items()]
@@ -53,7 +53,7 @@ def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column, id_co
 
     Hits are counted before repeated rows are dropped, so that no text is shuffled.
     """
-    text = F.lower(F.concat_ws(" ", "pros", "cons", "advice_to_management"))
+    text = F.lower(F.concat_ws(" ", "title", "pros", "cons", "job_title", "advice_to_management"))
     weight = F.when(F.datediff(as_of, "review_date") < 730, 1.0).otherwise(0.5) * F.when(F.col("is_current_employee"), 1.2).otherwise(1.0)
     n = lambda words: hit_count(F.col("_text"), words) * F.col("_weight")
     rows = spread(reviews.select(id_col, *keys, "rating", "is_current_employee", text.alias("_text"), weight.alias("_weight"))).select(
@@ -70,8 +70,11 @@ def culture_scores(reviews: DataFrame, keys: Sequence[str], as_of: Column, id_co
     return scored.withColumns({"overall": overall, "confidence": confidence})
 
 
-def governance(members: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Governance flags and score of boards, each member id once: each flag adds its points to a base of 20."""
+def governance(members: DataFrame, keys: Sequence[str], id_col: str = "id", strategy: DataFrame | None = None) -> DataFrame:
+    """Governance flags and score of boards, each member id once: each flag adds its points to a base of 20, up to 100.
+
+    ``strategy`` (keys, text) are texts on a board's strategy, any number a board; without them no board has an AI strategy.
+    """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     any_of = lambda c, words: hit_count(F.col(f"_{c}"), words) > 0
     office = any_of("title", L.DATA_OFFICERS) | F.arrays_overlap(F.split(F.col("_title"), r"\s+"), F.array(*[F.lit(x) for x in ("caio", "cdo", "cto", "cio")]))
@@ -79,7 +82,14 @@ def governance(members: DataFrame, keys: Sequence[str], id_col: str = "id") -> D
         id_col, *keys, any_of("committees", L.TECH_COMMITTEES).alias("tech"), any_of("bio", L.BOARD_EXPERTISE).alias("expert"), office.alias("office"), F.coalesce("is_independent", F.lit(False)).alias("independent"),
         F.contains("_committees", F.lit("risk")).alias("risk"), any_of("bio", L.TECH_MENTIONS).alias("mention"),
     ).dropDuplicates([id_col])
-    g = rows.groupBy(*keys).agg(F.count("*").alias("members"), F.bool_or("tech").alias("has_tech_committee"), F.bool_or("expert").alias("has_ai_expertise"), F.bool_or("office").alias("has_data_officer"), (F.avg(F.col("independent").cast("int")) > 0.5).alias("has_independent_majority"), (F.bool_or("risk") & F.bool_or("mention")).alias("has_risk_tech_oversight"))
-    points = {"has_tech_committee": 15, "has_ai_expertise": 20, "has_data_officer": 15, "has_independent_majority": 10, "has_risk_tech_oversight": 10}
+    g = rows.groupBy(*keys).agg(F.count("*").alias("members"), F.bool_or("tech").alias("has_tech_committee"), F.bool_or("expert").alias("has_ai_expertise"), F.bool_or("office").alias("has_data_officer"), (F.avg(F.col("independent").cast("int")) > 0.5).alias("has_independent_majority"), F.bool_or("risk").alias("_risk"), F.bool_or("mention").alias("_mention"))
+    if strategy is None:
+        g = g.withColumns({"_plan": F.lit(False), "_tech": F.lit(False)})
+    else:
+        low = F.lower("text")
+        told = strategy.where("text is not null").select(*keys, (hit_count(low, L.STRATEGY_WORDS) > 0).alias("_plan"), (hit_count(low, (*L.TECH_MENTIONS, "data")) > 0).alias("_tech"))
+        g = g.join(told.groupBy(*keys).agg(F.bool_or("_plan").alias("_plan"), F.bool_or("_tech").alias("_tech")), list(keys), "left").fillna(False, ["_plan", "_tech"])
+    g = g.withColumns({"has_risk_tech_oversight": F.col("_risk") & (F.col("_mention") | F.col("_tech")), "has_ai_strategy": F.col("_plan")}).drop("_risk", "_mention", "_tech", "_plan")
+    points = {"has_tech_committee": 15, "has_ai_expertise": 20, "has_data_officer": 15, "has_independent_majority": 10, "has_risk_tech_oversight": 10, "has_ai_strategy": 10}
     score = sum((F.col(c).cast("int") * p for c, p in points.items()), F.lit(20))
     return g.withColumns({"governance": score.cast("bigint"), "confidence": F.least(0.5 + F.col("members") / 20, F.lit(0.95))})

@@ -5,11 +5,13 @@ from pyspark.sql.window import Window
 
 from loamworks.functions import lexicons as L
 from loamworks.functions.keys import text_key, upper_key
+from loamworks.functions.signal_words import BROAD_TERMS
 from loamworks.functions.text import company_name, domain, filing_form, garbage, hit_count, tidy, tokens, whole_word_hits, word_count
 from loamworks.operators.documents import chunked, clean_lines, primary_document, section_bounds, visible_text, within_budget
 from loamworks.operators.evidence import concentration, justification, merged_members, rubric_confidence, rubric_level, to_dimensions
 from loamworks.operators.ranking import reciprocal_rank_fusion
 from loamworks.operators.retrieval import bm25_top, cosine_top
+from loamworks.operators.signals import broad_score
 from loamworks.operators.scoring import chain, culture_scores, dimension_name, governance
 from loamworks.plans.relational import _EVIDENCE, d, day, evidence
 from loamworks.sources import table
@@ -89,11 +91,11 @@ def garbage_chunks(s, p):
 @query("""SELECT id, len(regexp_extract_all(lower(content), 'automat[a-z]*'))::bigint AS automation, (contains(lower(content), 'risk') AND contains(lower(content), 'model')) AS model_risk
 FROM (SELECT DISTINCT id, content FROM document_chunks_sec WHERE content IS NOT NULL)""")
 def filing_mentions(s, p):
-    t = table(s, p, "document_chunks_sec").where("content is not null").select("id", F.lower("content").alias("c")).distinct()
-    return t.select("id", F.regexp_count("c", F.lit("automat[a-z]*")).cast("bigint").alias("automation"), (F.contains("c", F.lit("risk")) & F.contains("c", F.lit("model"))).alias("model_risk"))
+    t = table(s, p, "document_chunks_sec").where("content is not null").select("id", F.lower("content").alias("c"))
+    return t.select("id", F.regexp_count("c", F.lit("automat[a-z]*")).cast("bigint").alias("automation"), (F.contains("c", F.lit("risk")) & F.contains("c", F.lit("model"))).alias("model_risk")).distinct()
 
 
-_REVIEW = "lower(concat_ws(' ', pros, cons, advice_to_management))"
+_REVIEW = "lower(concat_ws(' ', title, pros, cons, job_title, advice_to_management))"
 _WEIGHT = "(CASE WHEN date_diff('day', review_date, DATE '2025-06-30') < 730 THEN 1.0 ELSE 0.5 END * CASE WHEN is_current_employee THEN 1.2 ELSE 1.0 END)::double"
 
 
@@ -117,6 +119,19 @@ def board_governance(s, p):
     return governance(t, ["signal"]).select("signal", "members", "governance")
 
 
+@query(f"""WITH m AS (SELECT lower(trim(governance_signal_id)) AS signal, {_hits("lower(coalesce(committees, ''))", L.TECH_COMMITTEES)} > 0 AS tech, {_hits("lower(coalesce(bio, ''))", L.BOARD_EXPERTISE)} > 0 AS expert,
+{_hits("lower(coalesce(title, ''))", L.DATA_OFFICERS)} > 0 OR list_has_any(regexp_split_to_array(lower(coalesce(title, '')), '\\s+'), ['caio', 'cdo', 'cto', 'cio']) AS office, coalesce(is_independent, false) AS ind,
+contains(lower(coalesce(committees, '')), 'risk') AS risk, {_hits("lower(coalesce(bio, ''))", L.TECH_MENTIONS)} > 0 AS mention FROM (SELECT DISTINCT * FROM board_members) WHERE trim(governance_signal_id) <> ''),
+s AS (SELECT lower(trim(id)) AS signal, bool_or({_hits("lower(evidence)", L.STRATEGY_WORDS)} > 0) AS plan, bool_or({_hits("lower(evidence)", (*L.TECH_MENTIONS, "data"))} > 0) AS told FROM board_governance_signals WHERE evidence IS NOT NULL GROUP BY 1)
+SELECT signal, count(*) AS members, (20 + 15 * bool_or(tech)::int + 20 * bool_or(expert)::int + 15 * bool_or(office)::int + 10 * (avg(ind::int) > 0.5)::int + 10 * (bool_or(risk) AND (bool_or(mention) OR coalesce(bool_or(told), false)))::int + 10 * coalesce(bool_or(plan), false)::int)::bigint AS governance,
+coalesce(bool_or(plan), false) AS has_ai_strategy FROM m LEFT JOIN s USING (signal) GROUP BY signal""")
+def board_governance_strategy(s, p):
+    """Governance with what the board's evidence says of its strategy."""
+    t = table(s, p, "board_members").withColumn("signal", text_key("governance_signal_id")).where("signal is not null")
+    told = table(s, p, "board_governance_signals").select(text_key("id").alias("signal"), F.col("evidence").alias("text"))
+    return governance(t, ["signal"], strategy=told).select("signal", "members", "governance", "has_ai_strategy")
+
+
 _DIMS = ", ".join(f"coalesce(avg(CASE WHEN dim = '{x}' THEN score END), 50.0) AS {x}" for x in L.DIMENSIONS)
 _MEAN = " + ".join(f"{w}::double * {x}" for x, w in L.DIMENSIONS.items())
 _VAR = " + ".join(f"{w}::double * ({x} - m) * ({x} - m)" for x, w in L.DIMENSIONS.items())
@@ -176,13 +191,13 @@ def fused_ranks(s, p):
 @query("""SELECT doc, id FROM (SELECT lower(trim(document_id)) AS doc, id, sum(length(content)) OVER (PARTITION BY lower(trim(document_id)) ORDER BY chunk_index, id ROWS UNBOUNDED PRECEDING) AS total
 FROM (SELECT DISTINCT id, document_id, chunk_index, content FROM document_chunks_sec) WHERE trim(document_id) <> '') WHERE total <= 3000""")
 def leading_chunks(s, p):
-    t = table(s, p, "document_chunks_sec").select("id", text_key("document_id").alias("doc"), "chunk_index", "content").distinct().where("doc is not null")
-    return within_budget(t, "doc", ["chunk_index", "id"], "content", 3000).select("doc", "id")
+    t = table(s, p, "document_chunks_sec").select("id", text_key("document_id").alias("doc"), "chunk_index", F.length("content").alias("chars")).distinct().where("doc is not null")
+    return within_budget(t, "doc", ["chunk_index", "id"], "chars", 3000).select("doc", "id")
 
 
 @query("""SELECT DISTINCT id, array_to_string(list_filter(regexp_split_to_array(content, '\\r?\\n'), lambda x: trim(x) = '' OR length(regexp_replace(x, '[^\\p{L}]', '', 'g')) / greatest(length(regexp_replace(x, '\\s', '', 'g')), 1) >= 0.2), chr(10)) AS content FROM document_chunks_sec WHERE content IS NOT NULL""")
 def cleaned_chunks(s, p):
-    return table(s, p, "document_chunks_sec").where("content is not null").select("id", clean_lines(F.col("content")).alias("content")).distinct()
+    return table(s, p, "document_chunks_sec").where("content is not null").select("id", clean_lines(F.col("content")).alias("content")).dropDuplicates(["id"])
 
 
 @query("""SELECT DISTINCT id, trim(regexp_replace(regexp_replace(content, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS content FROM document_chunks_sec WHERE contains(content, '<div')""")
@@ -205,19 +220,21 @@ def filings_by_ticker(s, p):
     return table(s, p, "documents_sec").where("trim(ticker) <> ''").groupBy(upper_key("ticker").alias("ticker")).agg(F.countDistinct("id").alias("n"), day(F.max("filing_date")).alias("newest"), F.round(F.avg("word_count"), 4).alias("words"))
 
 
+_TERMS = _hits("lower(content)", BROAD_TERMS)
+_BROAD = f"CASE WHEN {_TERMS} >= 20 THEN least(95.0::double, 70 + ({_TERMS} - 20) * 1.5::double) WHEN {_TERMS} >= 10 THEN 55 + ({_TERMS} - 10) * 1.5::double WHEN {_TERMS} >= 5 THEN 40 + ({_TERMS} - 5) * 3.0::double ELSE 20 + {_TERMS} * 4.0::double END"
 _WEIGHT_ROWS = ", ".join(f"('{src}', '{dim}', {w}::double, {rel}::double)" for src, (ws, rel) in L.SOURCE_WEIGHTS.items() for dim, w in ws.items())
 _DIM_ROWS = ", ".join(f"('{x}')" for x in L.DIMENSIONS)
 
 
-@query(f"""WITH e AS (SELECT ticker, source_type AS source, least(100, greatest(0, length(content)::double / 2)) AS score, confidence FROM ({_EVIDENCE})), w(source, dimension, weight, reliability) AS (VALUES {_WEIGHT_ROWS}), dims(dimension) AS (VALUES {_DIM_ROWS}),
-g AS (SELECT ticker, dimension, sum(score * weight) / sum(weight) AS score, sum(weight) AS total_weight, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM e JOIN w USING (source) WHERE score IS NOT NULL GROUP BY ALL)
-SELECT t.ticker, d.dimension, round(coalesce(g.score, 50), 7) AS score, round(coalesce(g.total_weight, 0), 5) AS total_weight, coalesce(g.sources, '') AS sources FROM (SELECT DISTINCT ticker FROM e WHERE ticker <> '') t, dims d LEFT JOIN g ON g.ticker = t.ticker AND g.dimension = d.dimension""")
+@query(f"""WITH e AS (SELECT ticker, source_type AS source, {_BROAD} AS score, confidence FROM ({_EVIDENCE})), w(source, dimension, weight, reliability) AS (VALUES {_WEIGHT_ROWS}), dims(dimension) AS (VALUES {_DIM_ROWS}),
+g AS (SELECT ticker, dimension, sum(score * weight) / sum(weight) AS score, 1 - product(1 - coalesce(confidence, 0) * reliability) AS confidence, sum(weight) AS total_weight, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM e JOIN w USING (source) WHERE score IS NOT NULL GROUP BY ALL)
+SELECT t.ticker, d.dimension, round(coalesce(g.score, 50), 6) AS score, round(coalesce(g.confidence, 0), 6) AS confidence, round(coalesce(g.total_weight, 0), 4) AS total_weight, coalesce(g.sources, '') AS sources FROM (SELECT DISTINCT ticker FROM e WHERE ticker <> '') t, dims d LEFT JOIN g ON g.ticker = t.ticker AND g.dimension = d.dimension""")
 def evidence_dimensions(s, p):
-    """Evidence of all sources on the seven dimensions; a passage's length stands for its score."""
-    e = evidence(s, p).where("ticker <> ''").select("ticker", F.col("source_type").alias("source"), F.least(F.lit(100.0), F.length("content") / 2).alias("score"), "confidence")
+    """The passages of three sources on the seven dimensions; a passage's score comes from its broad terms."""
+    e = evidence(s, p).where("ticker <> ''").select("ticker", F.col("source_type").alias("source"), F.when(F.col("content").isNotNull(), broad_score(F.lower("content"))).alias("score"), "confidence")
     w = s.createDataFrame([(src, dim, x, rel) for src, (ws, rel) in L.SOURCE_WEIGHTS.items() for dim, x in ws.items()], "source string, dimension string, weight double, reliability double")
     t = to_dimensions(e, w, ["ticker"], list(L.DIMENSIONS))
-    return t.select("ticker", "dimension", F.round("score", 7).alias("score"), F.round("total_weight", 5).alias("total_weight"), "sources")
+    return t.select("ticker", "dimension", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), F.round("total_weight", 4).alias("total_weight"), "sources")
 
 
 def _rubric(n: int) -> str:
@@ -226,11 +243,11 @@ def _rubric(n: int) -> str:
 
 @query(f"""WITH c AS (SELECT DISTINCT id, lower(content) AS t, length(content) AS n FROM document_chunks_sec WHERE content IS NOT NULL), k AS (SELECT id, n, {_rubric(5)} AS k5, {_rubric(4)} AS k4, {_rubric(3)} AS k3, {_rubric(2)} AS k2 FROM c),
 l AS (SELECT id, n, CASE WHEN k5 >= 2 THEN 5 WHEN k4 >= 2 THEN 4 WHEN k3 >= 1 THEN 3 WHEN k2 >= 1 THEN 2 ELSE 1 END::bigint AS level, CASE WHEN k5 >= 2 THEN k5 WHEN k4 >= 2 THEN k4 WHEN k3 >= 1 THEN k3 WHEN k2 >= 1 THEN k2 ELSE 0 END::bigint AS found FROM k)
-SELECT id, level, found, round(least(1, greatest(0.3, CASE WHEN found >= 5 THEN 0.9 WHEN found >= 3 THEN 0.75 WHEN found >= 1 THEN 0.65 ELSE 0.5 END::double * CASE WHEN n > 10000 THEN 1.1 WHEN n < 1000 THEN 0.9 ELSE 1.0 END::double)), 6) AS confidence FROM l""")
+SELECT id, level, found, round(least(1, greatest(0.3, CASE WHEN found >= 5 THEN 0.9 WHEN found >= 3 THEN 0.75 WHEN found >= 2 THEN 0.65 ELSE 0.5 END::double * CASE WHEN n > 10000 THEN 1.1 WHEN n < 1000 THEN 0.9 ELSE 1.0 END::double)), 6) AS confidence FROM l""")
 def rubric_levels(s, p):
-    t = table(s, p, "document_chunks_sec").where("content is not null").select("id", "content").distinct()
+    t = table(s, p, "document_chunks_sec").where("content is not null")
     level, found = rubric_level(F.col("content"), L.RUBRIC, L.RUBRIC_LEAST)
-    return t.select("id", level.alias("level"), found.alias("found"), F.length("content").alias("n")).select("id", "level", "found", F.round(rubric_confidence(F.col("found"), F.col("n")), 6).alias("confidence"))
+    return t.select("id", level.alias("level"), found.alias("found"), F.length("content").alias("n")).distinct().select("id", "level", "found", F.round(rubric_confidence(F.col("found"), F.col("n")), 6).alias("confidence"))
 
 
 @query("""SELECT company_id, lower(trim(name)) AS person, count(*) AS n_rows, arg_max(coalesce(bio, ''), (length(coalesce(bio, '')), coalesce(bio, ''))) AS bio, coalesce(bool_or(is_independent), false) AS is_independent, max(tenure_years)::double AS tenure_years,

@@ -47,8 +47,8 @@ def point_lookup(s, p):
 @query("""SELECT id, upper(trim(ticker)) AS ticker, strftime(filing_date, '%Y-%m-%d') AS filing_date FROM (SELECT DISTINCT * FROM documents_sec)
 WHERE upper(regexp_replace(filing_type, '[\\s-]+', '', 'g')) IN ('10K', '10Q') AND word_count >= 500 ORDER BY filing_date DESC NULLS LAST, id LIMIT 20 OFFSET 10""")
 def filing_page(s, p):
-    t = once(table(s, p, "documents_sec")).where(filing_form(F.col("filing_type")).isin("10K", "10Q") & (F.col("word_count") >= 500))
-    return t.orderBy(F.desc_nulls_last("filing_date"), "id").offset(10).limit(20).select("id", upper_key("ticker").alias("ticker"), day("filing_date").alias("filing_date"))
+    t = table(s, p, "documents_sec").where(filing_form(F.col("filing_type")).isin("10K", "10Q") & (F.col("word_count") >= 500)).select("id", upper_key("ticker").alias("ticker"), "filing_date").distinct()
+    return t.orderBy(F.desc_nulls_last("filing_date"), "id").offset(10).limit(20).select("id", "ticker", day("filing_date").alias("filing_date"))
 
 
 @query("SELECT section, count(*) AS n FROM (SELECT DISTINCT id, section FROM document_chunks_sec) WHERE section IS NOT NULL AND section NOT IN ('Unknown', 'Intro') GROUP BY section")
@@ -126,13 +126,13 @@ FROM board_governance_signals b WHERE b.confidence >= 0.5
 def evidence(s, p):
     """Filings, reviews and board signals in one shape of evidence."""
     key = lambda c: F.lower(F.trim(c))
-    c = table(s, p, "document_chunks_sec").where("section is not null").select(F.col("id").alias("evidence_id"), key("document_id").alias("k"), "content")
+    c = table(s, p, "document_chunks_sec").where("section is not null").select(F.col("id").alias("evidence_id"), key("document_id").alias("k"), shortened(F.col("content"), 200).alias("content"))
     f = table(s, p, "documents_sec").select(key("id").alias("k"), "ticker", "filing_date", "source_url").distinct()
-    filings = c.join(f, "k").select("evidence_id", F.lit("sec_filing").alias("source_type"), F.upper(F.trim("ticker")).alias("ticker"), shortened(F.col("content"), 200).alias("content"), F.lit(0.85).alias("confidence"), F.year("filing_date").cast("string").alias("fiscal_year"), "source_url", F.lit(1).alias("source_ord"))
-    r = table(s, p, "glassdoor_reviews").select(F.col("id").alias("evidence_id"), key("culture_signal_id").alias("k"), F.concat_ws(" ", "title", "pros", "cons").alias("content"), "review_date")
+    filings = c.join(f, "k").select("evidence_id", F.lit("sec_filing").alias("source_type"), F.upper(F.trim("ticker")).alias("ticker"), "content", F.lit(0.85).alias("confidence"), F.year("filing_date").cast("string").alias("fiscal_year"), "source_url", F.lit(1).alias("source_ord"))
+    r = table(s, p, "glassdoor_reviews").select(F.col("id").alias("evidence_id"), key("culture_signal_id").alias("k"), shortened(F.concat_ws(" ", "title", "pros", "cons"), 200).alias("content"), "review_date")
     g = table(s, p, "culture_signals").select(key("id").alias("k"), "ticker", "confidence").distinct().where("confidence >= 0.5")
     nothing = F.lit(None).cast("string").alias("source_url")
-    reviews = r.join(g, "k").select("evidence_id", F.lit("employee_review").alias("source_type"), F.upper(F.trim("ticker")).alias("ticker"), shortened(F.col("content"), 200).alias("content"), d("confidence").alias("confidence"), F.year("review_date").cast("string").alias("fiscal_year"), nothing, F.lit(2).alias("source_ord"))
+    reviews = r.join(g, "k").select("evidence_id", F.lit("employee_review").alias("source_type"), F.upper(F.trim("ticker")).alias("ticker"), "content", d("confidence").alias("confidence"), F.year("review_date").cast("string").alias("fiscal_year"), nothing, F.lit(2).alias("source_ord"))
     boards = table(s, p, "board_governance_signals").where("confidence >= 0.5").select(F.col("id").alias("evidence_id"), F.lit("board_composition").alias("source_type"), F.upper(F.trim("ticker")).alias("ticker"), shortened(F.col("evidence"), 200).alias("content"), d("confidence").alias("confidence"), F.year("created_at").cast("string").alias("fiscal_year"), nothing, F.lit(3).alias("source_ord"))
     return filings.distinct().unionByName(reviews.distinct()).unionByName(boards.distinct())
 
@@ -317,16 +317,16 @@ def sector_rollup(s, p):
     return t.groupBy(F.col("r_name").alias("sector")).agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("avg_score"), F.max("c_acctbal").alias("best"))
 
 
-@query("""SELECT event_id, round(sum(value) OVER (PARTITION BY ts::date, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS spent FROM events WHERE event_type = 'purchase'""")
+@query("""SELECT event_id, round(spent, 4) AS spent, round(spent, 4) <= 100 AS within FROM (SELECT event_id, sum(value) OVER (PARTITION BY ts::date, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events WHERE event_type = 'purchase')""")
 def daily_spending(s, p):
     t = table(s, p, "events").where("event_type = 'purchase'")
-    return running_budget(t, F.concat_ws("|", F.to_date("ts"), "user_id"), ["ts", "event_id"], "value", 500.0).select("event_id", F.round("spent", 4).alias("spent"))
+    return running_budget(t, F.concat_ws("|", F.to_date("ts"), "user_id"), ["ts", "event_id"], "value", 100.0).select("event_id", F.round("spent", 4).alias("spent"), (F.round("spent", 4) <= 100).alias("within"))
 
 
 @query("""SELECT event_type, count(*) AS n, approx FROM (SELECT event_type, user_id, (SELECT count(DISTINCT event_type) FROM events) AS approx FROM events) GROUP BY event_type, approx HAVING count(*) > 10""")
 def busy_types(s, p):
     t = table(s, p, "events")
-    return t.groupBy("event_type").agg(F.count("*").alias("n")).where("n > 10").join(F.broadcast(t.agg(F.countDistinct("event_type").alias("approx"))))
+    return t.groupBy("event_type").agg(F.count("*").alias("n")).where("n > 10").join(F.broadcast(t.agg(F.approx_count_distinct("event_type").alias("approx"))))  # one row
 
 
 @query("SELECT name, n FROM (SELECT trim(name) AS name, count(DISTINCT id) AS n FROM board_members WHERE trim(name) <> '' GROUP BY 1) ORDER BY n DESC, name LIMIT 10")

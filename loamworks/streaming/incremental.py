@@ -20,16 +20,24 @@ def sessions(stream: DataFrame, time_col: str, key: str, gap: str = "45 minutes"
     return stream.withWatermark(time_col, delay).groupBy(F.session_window(time_col, gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def grow_index(stream: DataFrame, path: str, key: str) -> DataStreamWriter:
-    """A writer that appends to the table at ``path`` the records of each batch whose keys it lacks; a repeated batch adds nothing."""
+#: Parts of an index by the hash of its keys.
+PARTS = 256
+
+
+def grow_index(stream: DataFrame, path: str, key: str, parts: int = PARTS) -> DataStreamWriter:
+    """A writer that appends to the table at ``path`` the records of each batch whose keys it lacks; a repeated batch adds nothing.
+
+    The table is partitioned by the hash of the key (column ``part``), and a batch reads the keys of its own parts only.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        once = batch.dropDuplicates([key])
+        once = batch.dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
         there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(there):
-            once = once.join(spark.read.parquet(path).select(key), key, "left_anti")
-        once.write.mode("append").parquet(path)
+            touched = [r["part"] for r in once.select("part").distinct().collect()]  # at most so many parts
+            once = once.join(spark.read.parquet(path).where(F.col("part").isin(touched)).select("part", key), ["part", key], "left_anti")
+        once.write.mode("append").partitionBy("part").parquet(path)
 
     return stream.writeStream.foreachBatch(add)

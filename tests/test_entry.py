@@ -17,6 +17,56 @@ def plain(v):
     return repr(round(v, 5)) if isinstance(v, float) else str(v)
 
 
+def _numbered(got, keys, number, first):
+    """The numbers of each key count up from ``first`` without a gap."""
+    assert len(got)
+    for _, g in got.groupby(keys, dropna=False):
+        assert sorted(g[number]) == list(range(first, first + len(g)))
+
+
+def _texts():
+    return dict(duckdb.sql(f"select doc_id, text from '{DATA}/documents.parquet' where text is not null").fetchall())
+
+
+def _document_chunks(got):
+    texts = _texts()
+    _numbered(got, ["doc_id"], "chunk_index", 0)
+    assert (got["word_count"] <= 120).all() and set(got["doc_id"]) == {d for d, t in texts.items() if t.strip()}
+    for r in got.itertuples():
+        assert r.start_char is None or r.start_char != r.start_char or texts[r.doc_id][int(r.start_char) :].startswith(r.content)
+    for d, g in got.groupby("doc_id"):
+        assert set(texts[d].split()) == {w for c in g["content"] for w in c.split()}
+
+
+def _memo_sections(got):
+    texts = _texts()
+    for d, g in got.groupby("doc_id"):
+        g = g.sort_values("start")
+        assert list(g["end"]) == [*g["start"][1:], len(texts[d])] and (g["start"].diff().dropna() >= 100).all()
+
+
+def _packed(got):
+    _numbered(got, ["table_name", "row_id", "field_name"], "pos", 1)
+    assert (got["item"].str.strip() == got["item"]).all() and (got["item"] != "").all()
+    assert (got.groupby(["table_name", "row_id", "field_name"]).size() >= 2).all()
+
+
+def _dictionary(got):
+    assert (got["support"] >= 2).all() and not got.duplicated(["field_name", "item"]).any()
+    assert got["item"].map(lambda v: "," in v or " and " in v.lower()).all()
+
+
+def _section_chunks(got):
+    texts = _texts()
+    _numbered(got, ["doc_id"], "chunk_index", 0)
+    assert (got["n_words"] <= 240).all()
+    for r in got.dropna(subset=["start"]).itertuples():
+        assert len(texts[r.doc_id][int(r.start) : int(r.end)].split()) == r.n_words
+
+
+HOLDS = {"document_chunks": _document_chunks, "memo_sections": _memo_sections, "p6_found": _packed, "p6_dictionary": _dictionary, "section_chunks": _section_chunks}
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -30,6 +80,8 @@ def test_query_matches_its_sql(spark, duck, name):
     got = __spark_entry__.queries()[name](spark, DATA).toPandas()
     sql = __spark_entry__.oracle_sql().get(name)
     if sql is None:
+        assert name in HOLDS, "a query without SQL needs a check of its own"
+        HOLDS[name](got)
         return
     want = duck.execute(sql).df()
     cols = sorted(got.columns)

@@ -172,12 +172,17 @@ def test_document_pipeline(spark):
 
 
 def test_culture_and_governance(spark):
-    reviews = spark.createDataFrame([("1", "c", "innovative and agile", "slow", None, dt.date(2025, 1, 1), True, 4.0), ("2", "c", None, None, None, None, None, None), ("2", "c", None, None, None, None, None, None)], "id string, company_id string, pros string, cons string, advice_to_management string, review_date date, is_current_employee boolean, rating double")
+    none = ("2", "c", *[None] * 8)
+    reviews = spark.createDataFrame([("1", "c", None, "innovative and agile", "slow", None, None, dt.date(2025, 1, 1), True, 4.0), none, none], "id string, company_id string, title string, pros string, cons string, advice_to_management string, job_title string, review_date date, is_current_employee boolean, rating double")
     r = culture_scores(reviews, ["company_id"], F.lit("2025-06-30").cast("date")).first()
     assert r["review_count"] == 2 and r["innovation"] == pytest.approx(80.0) and r["change_readiness"] == pytest.approx(50.0)
     members = spark.createDataFrame([("1", "s", "Chief Data Officer", "Technology | Risk", "machine learning, cyber", True), ("2", "s", None, None, None, None), ("2", "s", None, None, None, None)], "id string, s string, title string, committees string, bio string, is_independent boolean")
     g = governance(members, ["s"]).first()
     assert g["governance"] == 80 and g["confidence"] == pytest.approx(0.6)
+    told = spark.createDataFrame([("s", "Our machine learning plan"), ("s", None), ("t", "x")], "s string, text string")
+    assert governance(members, ["s"], strategy=told).first()["governance"] == 90 and governance(members, ["s"], strategy=told.where("false")).first()["governance"] == 80
+    titled = reviews.where("id = '1'").withColumn("job_title", F.lit("ML Engineer"))
+    assert culture_scores(titled, ["company_id"], F.lit("2025-06-30").cast("date")).first()["ai_awareness"] > 0
 
 
 def test_files(spark, tmp_path):
