@@ -74,18 +74,19 @@ SECTOR_DEFAULT = (50.0, 75.0, 1.0, 1.0)
 PENALTY, TALENT_COEFFICIENT, TALENT_THRESHOLD, POSITION, SHARE, SYNERGY = 0.25, 0.15, 0.25, 0.15, 0.60, 0.12
 SPREAD, RELIABILITY, MOST_RELIABLE, Z95 = 14.0, 0.32, 0.99, 1.96
 
-# Lines of filings that are no narrative, as they start or as a whole: headers, markup of figures, file lists, page furniture, figures.
-LINE_PATTERNS = (
-    r"^UNITED STATES SECURITIES AND EXCHANGE COMMISSION", r"^WASHINGTON,\s*D\.C\.\s*20549", r"^FORM\s+(10-K|10-Q|8-K|DEF\s*14A)\b", r"^Commission File Number", r"^Securities registered pursuant to Section",
-    r"^Indicate by check mark", r"^☐|^☑", r"^TABLE OF CONTENTS\b", r"^INDEX TO FINANCIAL STATEMENTS\b",
-    r"^(?:dei|us-gaap|ifrs|srt|country|currency|exch|naics|sic|stpr|invest)[:_][\w]+", r"^xbrli?:\w+", r"^ix:\w+", r"^link:\w+", r"^xlink:\w+", r"^IDEA:\s*XBRL\s+DOCUMENT", r"^<XBRL>", r"^<?xml.*xbrl", r"^CONSOLIDATED\s+DOCUMENT",
-    r"^Namespace\s+Prefix", r"^Namespace\s+URI", r"^Document\s+And\s+Entity\s+Information", r"report\.css|show\.js|\.xsd|xmlns:|fasb\.org|xbrl\.org", r"taxonomy.*extension",
-    r"^[\(\$\d\.,\)]{3,}$", r"^\(\s*\d+[\d\.,]*\s*\)$", r"^[\d\.,]+\s+[\d\.,]+\s+[\d\.,]+$", r"^\$\s*[\d\.,]+$",
-    r"^In\s+millions,?\s+except", r"^\$\s+in\s+millions", r"^Years?\s+ended\s+\w+\s+\d+", r"^Three\s+months\s+ended", r"^Nine\s+months\s+ended", r"^As\s+of\s+\w+\s+\d+,?\s+\d{4}",
-    r"^[-_]{8,}$", r"^\d+$", r"^Page\s+\d+$", r"^https?://\S+$", r"^(xbrl|ixbrl|inline xbrl)$", r"^<[^>]+>$",
-    r"^EX-\d+(?:\.\w+)?\s+\S+\.(?:htm|html|xml|xsd|xbrl|jpg|jpeg|png|gif|pdf|txt)$", r"^[A-Za-z0-9][A-Za-z0-9._-]{2,}\.(?:htm|html|xml|xsd|xbrl|jpg|jpeg|png|gif|pdf|txt)$", r"^GRAPHIC(?:\s+\S+)?$",
-    r"^begin\s+\d{3}\s+.+$", r"^end$",
+# How lines of filings start that are no narrative: headers, markup of figures, file lists, page furniture, figures; and what stands anywhere in such lines.
+LINE_STARTS = (
+    r"UNITED STATES SECURITIES AND EXCHANGE COMMISSION", r"WASHINGTON,\s*D\.C\.\s*20549", r"FORM\s+(10-K|10-Q|8-K|DEF\s*14A)\b", r"Commission File Number", r"Securities registered pursuant to Section",
+    r"Indicate by check mark", r"☐|☑", r"TABLE OF CONTENTS\b", r"INDEX TO FINANCIAL STATEMENTS\b",
+    r"(?:dei|us-gaap|ifrs|srt|country|currency|exch|naics|sic|stpr|invest)[:_][\w]+", r"xbrli?:\w+", r"ix:\w+", r"link:\w+", r"xlink:\w+", r"IDEA:\s*XBRL\s+DOCUMENT", r"<XBRL>", r"<?xml.*xbrl", r"CONSOLIDATED\s+DOCUMENT",
+    r"Namespace\s+Prefix", r"Namespace\s+URI", r"Document\s+And\s+Entity\s+Information", 
+    r"[\(\$\d\.,\)]{3,}$", r"\(\s*\d+[\d\.,]*\s*\)$", r"[\d\.,]+\s+[\d\.,]+\s+[\d\.,]+$", r"\$\s*[\d\.,]+$",
+    r"In\s+millions,?\s+except", r"\$\s+in\s+millions", r"Years?\s+ended\s+\w+\s+\d+", r"Three\s+months\s+ended", r"Nine\s+months\s+ended", r"As\s+of\s+\w+\s+\d+,?\s+\d{4}",
+    r"[-_]{8,}$", r"\d+$", r"Page\s+\d+$", r"https?://\S+$", r"(xbrl|ixbrl|inline xbrl)$", r"<[^>]+>$",
+    r"EX-\d+(?:\.\w+)?\s+\S+\.(?:htm|html|xml|xsd|xbrl|jpg|jpeg|png|gif|pdf|txt)$", r"[A-Za-z0-9][A-Za-z0-9._-]{2,}\.(?:htm|html|xml|xsd|xbrl|jpg|jpeg|png|gif|pdf|txt)$", r"GRAPHIC(?:\s+\S+)?$",
+    r"begin\s+\d{3}\s+.+$", r"end$",
 )
+LINE_MARKS = ("report.css", "show.js", ".xsd", "xmlns:", "fasb.org", "xbrl.org")
 
 # Headings of sections by form.
 SECTION_HEADINGS = {

@@ -30,7 +30,8 @@ def hit_count(low: Column, words: Sequence[str]) -> Column:
 def whole_word_hits(c: Column, words: Sequence[str]) -> Column:
     """The words that stand in the text between characters other than ASCII letters, digits and underscores; words are no patterns."""
     low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(low.rlike(rf"(^|[^a-z0-9_])\Q{w.lower()}\E([^a-z0-9_]|$)"), F.lit(w)) for w in words]))
+    stands = lambda w: F.contains(low, F.lit(w.lower())) & low.rlike(rf"(^|[^a-z0-9_])\Q{w.lower()}\E([^a-z0-9_]|$)")
+    return F.array_compact(F.array(*[F.when(stands(w), F.lit(w)) for w in words]))
 
 
 def domain(c: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamworks.functions.lexicons import LINE_PATTERNS, SECTION_HEADINGS, SECTION_NAMES
+from loamworks.functions.lexicons import LINE_MARKS, LINE_STARTS, SECTION_HEADINGS, SECTION_NAMES
+from loamworks.functions.text import hit_count
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
 
@@ -102,7 +103,7 @@ def narrative_lines(c: Column) -> Column:
     Encoded blocks go from their begin line to their end line, or to the end of the text without one. Lines are stripped;
     of empty lines in a row at most two stay. A null text stays null.
     """
-    drop = "(?i)" + "|".join(f"(?:{p})" for p in LINE_PATTERNS)
+    start = "(?i)^(?:" + "|".join(LINE_STARTS) + ")"
     text = F.regexp_replace(c, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"(?msi)^[ \t]*begin\s+\d{3}\s+[^\n]+\n.*?(?:^[ \t]*end[ \t]*(?:\n|\z)|\z)", "")
     count = lambda x, p: F.length(x) - F.length(F.regexp_replace(x, p, ""))
@@ -112,8 +113,10 @@ def narrative_lines(c: Column) -> Column:
         figures = (n >= 10) & (letters < 0.20 * n) & ~x.rlike("^(http|www|//)")
         signs = (n >= 60) & (count(x, r"[^\p{L}\p{N}\s]") > 0.35 * n)
         brackets = (n >= 20) & (count(x, r"[()]") > 0.3 * n)
-        encoded = x.rlike(r"^M[\x20-\x7E]{55,}$")
-        return (x == "") | ~(x.rlike(drop) | figures | signs | brackets | encoded)
+        encoded = (n >= 56) & x.rlike(r"^M[\x20-\x7E]{55,}$")
+        low = F.lower(x)
+        marked = (hit_count(low, LINE_MARKS) > 0) | F.contains(low, F.lit("taxonomy")) & low.rlike("taxonomy.*extension")
+        return (x == "") | ~(x.rlike(start) | marked | figures | signs | brackets | encoded)
 
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t"))), told)
     return F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit("\n"))

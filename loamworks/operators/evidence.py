@@ -50,28 +50,27 @@ def rubric_confidence(found: Column, length: Column, measured: Column | bool = F
 BANDS = {5: (80, 100), 4: (60, 79), 3: (40, 59), 2: (20, 39), 1: (0, 19)}
 
 
-def rubric_score(text: Column, rubric: Mapping[int, Sequence[str]], least: Mapping[int, int], metric: Column | None = None, thresholds: Mapping[int, float] | None = None) -> Column:
-    """struct(level, score, found, confidence) of a text by a rubric of keywords by level.
+def rubric_scored(df: DataFrame, text_col: str, rubric: Mapping[int, Sequence[str]], least: Mapping[int, int], metric_col: str | None = None, thresholds: Mapping[int, float] | None = None) -> DataFrame:
+    """``df`` without its text, but with level, score, found and confidence by a rubric of keywords by level.
 
-    The highest level counts whose keywords stand in the text often enough and, where ``metric`` is not null, whose
+    The highest level counts whose keywords stand in the text often enough and, where the metric is not null, whose
     threshold it reaches; the score lies within the level's band by the keywords beyond the least number, with 5 points
     for a metric of 1.5 times the threshold. If no level fits, a text of many broad terms has their score at level 3 with
     confidence 0.5, and any other 15 at level 1 with 0.3. A null text counts as empty.
     """
-    text = F.coalesce(text, F.lit(""))
-    measured = metric.isNotNull() if metric is not None else F.lit(False)
+    text, hits = F.coalesce(F.col(text_col), F.lit("")), {n: f"_hits{n}" for n in rubric}
+    counted = {f"_hits{n}": F.size(whole_word_hits(text, words)) for n, words in rubric.items()}
+    df = df.withColumns({**counted, "_broad": broad_score(F.lower(text)), "_length": F.length(text)}).drop(text_col)
+    metric = F.col(metric_col) if metric_col else F.lit(None).cast("double")
     result = lambda level, score, found, confidence: F.struct(F.lit(level).cast("bigint").alias("level"), score.cast("double").alias("score"), found.cast("bigint").alias("found"), confidence.cast("double").alias("confidence"))
-    broad = broad_score(F.lower(text))
-    out = F.when(broad >= 40, result(3, broad, F.lit(0), F.lit(0.5))).otherwise(result(1, F.lit(15.0), F.lit(0), F.lit(0.3)))
+    out = F.when(F.col("_broad") >= 40, result(3, F.col("_broad"), F.lit(0), F.lit(0.5))).otherwise(result(1, F.lit(15.0), F.lit(0), F.lit(0.3)))
     for n in sorted(rubric):
-        low, high = BANDS[n]
-        k, spare = F.size(whole_word_hits(text, rubric[n])), len(rubric[n]) - least[n]
+        (low, high), k, spare, floor = BANDS[n], F.col(hits[n]), len(rubric[n]) - least[n], (thresholds or {}).get(n, 0.0)
         share = (k - least[n]) / F.lit(spare) if spare > 0 else F.lit(0.5)
-        floor = (thresholds or {}).get(n, 0.0)
-        bonus = F.when(measured & (metric > 1.5 * floor), 5.0).otherwise(0.0) if metric is not None else F.lit(0.0)
-        fits = (k >= least[n]) & (F.coalesce(metric >= floor, F.lit(True)) if metric is not None else F.lit(True))
-        out = F.when(fits, result(n, clamp(low + (high - low) * share + bonus, low, high), k, rubric_confidence(k, F.length(text), measured))).otherwise(out)
-    return out
+        bonus = F.when(metric > 1.5 * floor, 5.0).otherwise(0.0)
+        fits = (k >= least[n]) & F.coalesce(metric >= floor, F.lit(True))
+        out = F.when(fits, result(n, clamp(low + (high - low) * share + bonus, low, high), k, rubric_confidence(k, F.col("_length"), metric.isNotNull()))).otherwise(out)
+    return df.withColumn("_result", out).select(*[c for c in df.columns if c not in (*hits.values(), "_broad", "_length")], "_result.*")
 
 
 def cited(passages: DataFrame, keys: Sequence[str], words: Sequence[str], id_col: str, top: int = 5, prefix: int = 200) -> DataFrame:

@@ -7,7 +7,7 @@ from loamworks.functions import lexicons as L
 from loamworks.functions import signal_words as S
 from loamworks.functions.keys import text_key, upper_key
 from loamworks.functions.text import filing_form
-from loamworks.operators.evidence import BANDS, cited, rubric_score
+from loamworks.operators.evidence import BANDS, cited, rubric_scored
 from loamworks.operators.ranking import reciprocal_rank_fusion
 from loamworks.operators.retrieval import bm25_top, cosine_top
 from loamworks.plans.analytics import _BM25
@@ -90,9 +90,8 @@ SELECT id, (CASE WHEN fit > 0 THEN fit WHEN broad >= 40 THEN 3 ELSE 1 END)::bigi
 round(CASE WHEN fit > 0 THEN least(1, greatest(0.3, CASE WHEN found >= 5 THEN 0.9 WHEN found >= 3 THEN 0.75 WHEN found >= 2 THEN 0.65 ELSE 0.5 END::double * CASE WHEN n > 10000 THEN 1.1 WHEN n < 1000 THEN 0.9 ELSE 1.0 END::double)) WHEN broad >= 40 THEN 0.5 ELSE 0.3 END::double, 6) AS confidence FROM k""")
 def rubric_scores(s, p):
     """Each chunk's level, score within the level, keywords found and confidence; where no level fits, the score of its broad terms."""
-    r = rubric_score(F.col("content"), L.RUBRIC, L.RUBRIC_LEAST)
-    t = table(s, p, "document_chunks_sec").where("content is not null").select("id", r.alias("r")).distinct()
-    return t.select("id", "r.level", F.round("r.score", 6).alias("score"), "r.found", F.round("r.confidence", 6).alias("confidence"))
+    t = rubric_scored(table(s, p, "document_chunks_sec").where("content is not null").select("id", "content"), "content", L.RUBRIC, L.RUBRIC_LEAST)
+    return t.select("id", "level", F.round("score", 6).alias("score"), "found", F.round("confidence", 6).alias("confidence")).distinct()
 
 
 _ROUTES = {"sec_filing": "digital_presence", "employee_review": "glassdoor_reviews", "board_composition": "board_composition"}
@@ -156,7 +155,7 @@ def range_violations(s, p):
     return out
 
 
-_DROP = "(?i)" + "|".join(f"(?:{x})" for x in L.LINE_PATTERNS)
+_DROP = "(?i)^(?:" + "|".join(L.LINE_STARTS) + ")|" + "|".join(x.replace(".", "\\.") for x in L.LINE_MARKS) + "|taxonomy.*extension"
 _COUNT = lambda x: f"(length(x) - length(regexp_replace(x, '{x}', '', 'g')))"
 _UNBLOCKED = r"regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '(?msi)^[ \t]*begin\s+\d{3}\s+[^\n]+\n.*?(?:^[ \t]*end[ \t]*$|\z)', '', 'g')"
 

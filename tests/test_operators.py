@@ -15,7 +15,7 @@ from loamworks.operators.latest import latest_batch, latest_per_key, repeats, tr
 from loamworks.operators.ranking import position_in_group, reciprocal_rank_fusion, running_budget, top_mean
 from loamworks.operators.retrieval import bm25_top, cosine_top
 from loamworks.operators.scoring import chain, culture_scores, governance
-from loamworks.sources.files import largest_files, texts, write_json
+from loamworks.sources.files import any_texts, cached_reviews, largest_files, newest_files, result_documents, texts, write_json
 
 def scored(spark, rows, places=4):
     cols = [*DIMENSIONS, "talent_concentration", "percentile", "sector", "evidence_count"]
@@ -193,3 +193,22 @@ def test_files(spark, tmp_path):
     assert largest_files(spark, str(tmp_path)).first()["path"].endswith("y.txt")
     write_json(spark.createDataFrame([("k", 1)], "t string, v int"), str(tmp_path / "out"), "t")
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_files_by_their_bytes_and_age(spark, tmp_path):
+    import gzip
+    import os
+
+    for k, (folder, name, body) in enumerate([("a", "full-submission.txt", b"main"), ("a", "big.txt", b"x" * 99), ("b", "one.dat", gzip.compress("zipped é".encode())), ("b", "two.txt", b""), ("c", "old.txt", b"bad \xff byte")]):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_bytes(body)
+        os.utime(tmp_path / folder / name, (1e9 - 1e6 * (folder == "c") + k, 1e9 - 1e6 * (folder == "c") + k))
+    assert sorted(r["content"] for r in any_texts(spark, str(tmp_path), "*[!g].*").collect()) == ["", "bad  byte", "main", "zipped é"]
+    assert [os.path.basename(r["path"]) for r in newest_files(spark, str(tmp_path), 2).collect()] == ["one.dat", "full-submission.txt"]
+    (tmp_path / "r").mkdir()
+    for t, x in (("A", "1.5"), ("B", "7"), ("C", "null")):
+        (tmp_path / "r" / f"{t}_result.json").write_text(f'{{"ticker": "{t}",\n "final_score": {x}}}')
+    (tmp_path / "r" / "other.json").write_text('{"ticker": "D", "final_score": 9}')
+    assert [r["ticker"] for r in result_documents(spark, str(tmp_path / "r"), "ticker string, final_score double", "final_score").collect()] == ["B", "A", "C"]
+    (tmp_path / "r" / "reviews.json").write_text('[{"review_id": "1", "rating": 4, "review_date": "2024-05-01T00:00:00"},\n {"review_id": "2", "review_date": "?"}]')
+    assert [(r["review_id"], r["rating"], r["review_date"] and r["review_date"].year) for r in cached_reviews(spark, str(tmp_path / "r" / "reviews.json")).collect()] == [("1", 4.0, 2024), ("2", None, None)]

@@ -7,7 +7,7 @@ from loamworks.functions import dates as da
 from loamworks.functions.signal_words import COMMITTEE_PATTERNS, FORM_HEADINGS
 from loamworks.functions.text import committees, form_like, squished, whole_word_hits
 from loamworks.operators import signals as sig
-from loamworks.operators.evidence import cited, concentration, rubric_confidence, rubric_score
+from loamworks.operators.evidence import cited, concentration, rubric_confidence, rubric_scored
 
 
 def one(spark, expr, **values):
@@ -86,7 +86,7 @@ RUBRIC, LEAST = {5: ("red", "blue", "c++"), 4: ("green", "gold"), 2: ("grey",)},
 )
 def test_rubric_scores(spark, text, metric, want):
     t = spark.createDataFrame([(text, metric)], "t string, m double")
-    r = t.select(rubric_score(F.col("t"), RUBRIC, LEAST, F.col("m"), {5: 0.8, 4: 0.5, 2: 0.1}).alias("r")).first()["r"]
+    r = rubric_scored(t, "t", RUBRIC, LEAST, "m", {5: 0.8, 4: 0.5, 2: 0.1}).first()
     if text == "red blue" and metric:
         assert r["level"] == 1
     else:
