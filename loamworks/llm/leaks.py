@@ -46,11 +46,18 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [(at(m.start()), starts[bisect_right(places, m.end() - 1)]) for m in WORD.finditer("".join(pieces))]
 
 
+class _Numbers(dict):
+    """Words numbered from 1; a word without a number is 0."""
+
+    def __missing__(self, word: str) -> int:
+        return 0
+
+
 def _automaton(items: list[tuple[object, list[str]]], block: int):
     """The automaton over numbered words, and the numbers; None without a block."""
     import ahocorasick
 
-    number: dict[str, int] = {}
+    number = _Numbers()
     places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
     for k, (_, words) in enumerate(items):
         own = [number.setdefault(w, len(number) + 1) for w in words]
@@ -107,7 +114,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
                     words = normal_words(text)
                     if auto is None or len(words) < min_words:
                         continue
-                    hits = [(e + 1 - block, k, i) for e, at in auto.iter(tuple([number.get(w, 0) for w in words])) for k, i in at]
+                    hits = [(e + 1 - block, k, i) for e, at in auto.iter(tuple(map(number.__getitem__, words))) for k, i in at]
                     spans = None
                     for k, a, n in _runs(words, hits, entries, min_words):
                         spans = spans or word_spans(text)

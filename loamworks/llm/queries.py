@@ -71,6 +71,12 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "document_chunks_sec")).select("chunk_id", F.coalesce(F.col("stored_word_count").cast("string"), F.lit("")).alias("stored_word_count"), "n_chars", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"))
 
 
+def p5_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each chunk, the share of them that end in punctuation, and the share of signs among its characters."""
+    stats = quality.text_statistics(table(spark, sf_dir, "document_chunks_sec"))
+    return stats.select("chunk_id", "n_lines", F.round("punctuated_line_share", 6).alias("punctuated_line_share"), F.round("symbol_ratio", 6).alias("symbol_ratio"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -117,7 +123,7 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clean_near": p1_clean_near, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_members": p2_members, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clean_near": p1_clean_near, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_members": p2_members, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts, "p5_ratios": p5_ratios, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
     "p1_clean": _LINES + """, g AS (SELECT DISTINCT id, line_no FROM k JOIN h USING (site, k)), a AS (SELECT DISTINCT id, string_split(content, chr(10)) AS lines FROM document_chunks_sec),
@@ -126,6 +132,14 @@ SELECT a.id AS chunk_id, CASE WHEN a.lines IS NOT NULL THEN coalesce(m.content,
     "p5_counts": r"""
 WITH c AS (SELECT DISTINCT id, coalesce(content, '') AS t, word_count FROM document_chunks_sec), w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda x: x <> '') AS w FROM c)
 SELECT id AS chunk_id, coalesce(word_count::varchar, '') AS stored_word_count, length(t)::bigint AS n_chars, len(w)::bigint AS n_words, round(length(array_to_string(w, '')) / nullif(len(w), 0), 6) AS mean_word_length FROM w""",
+    "p5_ratios": r"""
+WITH c AS (SELECT DISTINCT id, coalesce(content, '') AS t FROM document_chunks_sec), l AS (SELECT id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+', '', 'g')), lambda x: x <> '') AS l FROM c)
+SELECT id AS chunk_id, len(l)::bigint AS n_lines, round(len(list_filter(l, lambda x: x[-1] IN ('.', '!', '?', ';', ':'))) / nullif(len(l), 0), 6) AS punctuated_line_share, round((length(array_to_string(l, '')) - length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g'))) / nullif(length(array_to_string(l, '')), 0), 6) AS symbol_ratio FROM l""",
+    "p7_items": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)), ig AS (SELECT item_id, k, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
+m AS (SELECT DISTINCT doc_id, item_id, dg.k - ig.k AS diagonal, ig.k AS k FROM dg JOIN ig USING (g)), r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY k) AS island FROM m), s AS (SELECT doc_id, item_id, count(*) + 12 AS n FROM r GROUP BY doc_id, item_id, diagonal, island)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n) AS longest FROM s GROUP BY item_id""",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)), ig AS (SELECT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
