@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamworks.functions.numeric import clamp, noisy_or
+from loamworks.functions.numeric import clamp
 from loamworks.functions.text import hit_count, whole_word_hits
+from loamworks.operators.lineage import cut
 from loamworks.operators.signals import broad_score
 
 
@@ -17,14 +18,18 @@ def to_dimensions(evidence: DataFrame, weights: DataFrame, keys: Sequence[str],
     ``weights`` has (source, dimension, weight, reliability), a row per pair. Confidence is the chance that at least one
     piece of evidence holds. A dimension without evidence has score 50, confidence 0 and no source; evidence without a
     score or of an unknown source counts for nothing, but its key comes out.
+
+    Evidence is added up by source first, and that small table is written down, as it is read twice.
     """
     spark = evidence.sparkSession
-    frame = evidence.select(*keys).distinct().join(F.broadcast(spark.createDataFrame([(x,) for x in dimensions], "dimension string")))
+    trust = F.broadcast(weights.groupBy("source").agg(F.max("reliability").alias("reliability")))  # one row a source
+    scored = F.col("score").isNotNull()
+    doubt = 1 - F.coalesce("confidence", F.lit(0.0)) * F.coalesce("reliability", F.lit(0.0))
+    by_source = cut(evidence.join(trust, "source", "left").groupBy(*keys, "source").agg(F.sum(clamp(F.col("score"), 0, 100)).alias("_sum"), F.count_if(scored).alias("_n"), F.product(F.when(scored, doubt)).alias("_doubt")))
+    frame = by_source.select(*keys).distinct().join(F.broadcast(spark.createDataFrame([(x,) for x in dimensions], "dimension string")))
     w = F.col("weight")
-    mapped = evidence.where("score is not null").join(F.broadcast(weights), "source")
-    g = mapped.groupBy(*keys, "dimension").agg(
-        (F.sum(clamp(F.col("score"), 0, 100) * w) / F.sum("weight")).alias("score"), noisy_or(F.coalesce("confidence", F.lit(0.0)) * F.col("reliability")).alias("confidence"),
-        F.sum("weight").alias("total_weight"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
+    g = by_source.where("_n > 0").join(F.broadcast(weights), "source").groupBy(*keys, "dimension").agg(
+        (F.sum(F.col("_sum") * w) / F.sum(F.col("_n") * w)).alias("score"), (1 - F.product("_doubt")).alias("confidence"), F.sum(F.col("_n") * w).alias("total_weight"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources")
     )
     zero = F.lit(0.0)
     return frame.join(g, [*keys, "dimension"], "left").select(*keys, "dimension", F.coalesce("score", F.lit(50.0)).alias("score"), F.coalesce("confidence", zero).alias("confidence"), F.coalesce("total_weight", zero).alias("total_weight"), F.coalesce("sources", F.lit("")).alias("sources"))

@@ -1,6 +1,5 @@
 """Ranked retrieval: exact cosine search, BM25 and their fusion."""
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,29 +82,16 @@ def bm25_top(documents: DataFrame, queries: DataFrame, k: int, k1: float = 1.5,
     """
     terms = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
     few = small_or_shuffled(terms, MAX_TERMS)
+    wanted = small_or_shuffled(terms.select("term").distinct(), MAX_TERMS)
     lengths = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    words = terms.select("term").distinct().limit(MAX_TERMS + 1).collect()  # at most MAX_TERMS and one
-    counted = _term_counts(lengths, {r["term"] for r in words} if len(words) <= MAX_TERMS else None)
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
+    stats = cut(lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")))
+    counted = cut(lengths.select("doc_id", "len", F.explode("w").alias("term")).join(wanted, "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
     df = counted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
     idf = cut(df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     weights = idf.join(F.broadcast(mean)).select("term", "mean_len", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    asked = small_or_shuffled(cut(weights.join(few, "term")), MAX_TERMS)
+    asked = small_or_shuffled(weights.join(few, "term"), MAX_TERMS)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     scored = counted.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _term_counts(lengths: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(doc_id, len, term, tf) of documents (doc_id, w, len), of the ``wanted`` terms where given; written down, as it is read twice."""
-    shared = lengths.sparkSession.sparkContext.broadcast(wanted)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = shared.value
-        for b in batches:
-            rows = [(doc, n, t, c) for doc, n, words in zip(b["doc_id"], b["len"], b["w"], strict=True) for t, c in Counter(words if keep is None else filter(keep.__contains__, words)).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "len", "term", "tf"])
-
-    return cut(lengths.mapInPandas(count, "doc_id bigint, len int, term string, tf bigint").dropDuplicates(["doc_id", "term"]))

@@ -124,10 +124,18 @@ def placeholder(category: Column, score: Column, raw: Column, count: Column) ->
     return F.coalesce(score <= 0, F.lit(False)) & told
 
 
+def _broad_points(k: int) -> float:
+    """The score of a text with ``k`` broad terms: 20 to 95, in pieces."""
+    for least, base, step in ((20, 70.0, 1.5), (10, 55.0, 1.5), (5, 40.0, 3.0), (0, 20.0, 4.0)):
+        if k >= least:
+            return min(95.0, base + (k - least) * step)
+    return 20.0
+
+
 def broad_score(low: Column) -> Column:
-    """The score of a text in lower case by the number of broad terms in it: 20 to 95, in pieces."""
-    k = hit_count(low, S.BROAD_TERMS)
-    return F.when(k >= 20, F.least(F.lit(95.0), 70 + (k - 20) * 1.5)).when(k >= 10, 55 + (k - 10) * 1.5).when(k >= 5, 40 + (k - 5) * 3.0).otherwise(20 + k * 4.0)
+    """The score of a text in lower case by the number of broad terms in it."""
+    points = F.array(*[F.lit(_broad_points(k)) for k in range(len(S.BROAD_TERMS) + 1)])
+    return F.element_at(points, hit_count(low, S.BROAD_TERMS) + 1)
 
 
 def posting_level(title: Column) -> Column:
