@@ -34,7 +34,7 @@ def write_json(df: DataFrame, path: str, by: str) -> None:
 def any_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, content) of text files, unpacked where they start with the mark of gzip whatever they are called; bytes that are no UTF-8 are left out.
 
-    An empty file has an empty content.
+    An empty file gives no row, as in all file scans of Spark.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
