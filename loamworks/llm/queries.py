@@ -16,12 +16,6 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.without_lines(chunks, furniture.repeated_lines(chunks, table(spark, sf_dir, "documents_sec")))
 
 
-def p1_clean_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks without the lines of near-duplicate clusters of high document frequency."""
-    chunks = table(spark, sf_dir, "document_chunks_sec")
-    return furniture.without_lines(chunks, furniture.near_duplicate_lines(chunks, table(spark, sf_dir, "documents_sec")))
-
-
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.line_clusters(table(spark, sf_dir, "document_chunks_sec"), table(spark, sf_dir, "documents_sec"))
 
@@ -123,7 +117,7 @@ k AS (SELECT id, doc, site, line_no, regexp_replace(lower(line), '[^\p{L}]+', ''
 h AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT doc) >= 4)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clean_near": p1_clean_near, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_members": p2_members, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts, "p5_ratios": p5_ratios, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_members": p2_members, "p2_entities": p2_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts, "p5_ratios": p5_ratios, "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {
     "p1_found": _LINES + "SELECT DISTINCT id AS chunk_id, line_no FROM k JOIN h USING (site, k)",
     "p1_clean": _LINES + """, g AS (SELECT DISTINCT id, line_no FROM k JOIN h USING (site, k)), a AS (SELECT DISTINCT id, string_split(content, chr(10)) AS lines FROM document_chunks_sec),
