@@ -71,6 +71,32 @@ def test_equal_letters_count_together_whatever_their_spacing(spark, one, other):
     assert got == {(f"c{i}", 2) for i in range(6)}
 
 
+def test_equal_letters_are_counted_without_buckets_and_texts_read_once(spark, monkeypatch):
+    def buckets(*args, **kwargs):
+        raise AssertionError("no bucket of like lines bears on lines of equal letters")
+
+    monkeypatch.setattr(fu, "crowded", buckets)
+    read = spark.sparkContext.accumulator(0)
+
+    def reading(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    chunks, docs = site()
+    c, d = tables(spark, chunks, docs)
+    got = {(r["chunk_id"], r["line_no"]) for r in fu.repeated_lines(c.mapInArrow(reading, CHUNKS), d).collect()}
+    assert got == {(f"c{i}", 2) for i in range(6)} and read.value == len(chunks)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("aT .,\n\r\t-7\u00e9\u0130\u00df\u03a3\u03c3\u0301\u0660\u4e2d|'", max_size=60))
+def test_letters_of_a_line_are_its_words_without_spacing(text):
+    assert fu.letters_of(text) == ["".join(fu.words_of(line)).encode() for line in text.split("\n")]
+    plain = text.encode("ascii", "ignore").decode()
+    assert fu.letters_of(plain) == ["".join(fu.words_of(line)).encode() for line in plain.split("\n")]
+
+
 def test_near_duplicate_lines_come_out_of_the_text(spark):
     names = ["Mary", "Robert", "Linda", "David", "Susan"]
     chunks = [(f"c{i}", f"d{i}", f"Own words {'pqrst'[i] * 9} here.\nBy {n} Xylo{'abcde'[i]}, Investor Relations, March {i + 1}, 2024") for i, n in enumerate(names)]
